@@ -32,8 +32,9 @@ TRAIN_TOXIC = 3000
 TRAIN_CLEAN = 6000
 STEM = (4, 5, 6, 7)
 FUZZY = 5
-#: A lexicon entry: so many toxic documents and contexts at least, and so small a share of clean ones among them.
+#: A lexicon entry: so many toxic documents (also as a share of those learnt from) and contexts at least, and so small a share of clean ones among them.
 LEAST_DOCS = 4
+LEAST_SHARE = 0.005
 LEAST_CONTEXTS = 4
 CLEAN_SHARE = 0.02
 CONTEXTS = 12
@@ -193,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
         return run
 
     sums = map_arrow(rows.coalesce(32), count, "term string, kind int, toxic long, clean long, contexts array<long>").groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
-    found = sums.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("contexts") >= F.greatest(F.lit(LEAST_CONTEXTS), F.least(F.lit(CONTEXTS), (F.col("toxic") * 0.3).cast("int")))) & (F.col("clean") <= F.col("toxic") * CLEAN_SHARE)).collect()
+    found = sums.filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * min(TRAIN_TOXIC, totals[1]))) & (F.col("contexts") >= F.greatest(F.lit(LEAST_CONTEXTS), F.least(F.lit(CONTEXTS), (F.col("toxic") * 0.3).cast("int")))) & (F.col("clean") <= F.col("toxic") * CLEAN_SHARE)).collect()
     terms = lexicon({(r["term"], r["kind"]): (r["toxic"], r["contexts"]) for r in found})
     scorer = Scorer(terms, [])
     schema2 = pa.schema([("x", pa.list_(pa.float64())), ("toxic", pa.int32())])
