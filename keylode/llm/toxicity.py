@@ -244,6 +244,23 @@ def score_documents(docs: DataFrame, scorer: Scorer, *, hits: bool = False) -> D
     return map_arrow(texts(docs), make, "doc_id long, score double, hits array<struct<start:long,end:long,term:string,edits:int,quoted:boolean>>")
 
 
+def accepted(docs: DataFrame, scorer: Scorer, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whole, whose text scores under the threshold."""
+    terms, beta = scorer_terms(scorer), scorer.beta
+
+    def make():
+        own = Scorer(terms, beta)
+
+        def run(batches):
+            for batch in batches:
+                rows = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([own.score(x or "") < threshold for x in rows], pa.bool_()))
+
+        return run
+
+    return map_arrow(docs, make, docs.schema)
+
+
 def scorer_terms(scorer: Scorer) -> dict[str, int]:
     terms, stack = {}, [scorer.trie.root]
     while stack:
