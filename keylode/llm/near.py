@@ -169,7 +169,8 @@ def clusters_of(classes: DataFrame, scratch: Scratch) -> DataFrame:
     labels = components(edges, scratch)
     weights = members.groupBy("class").agg(F.sum("weight").alias("weight"))
     placed = scratch.write(labels.join(weights, labels["node"] == weights["class"]).select("class", F.col("label").alias("cluster"), "weight"), drop=[members])
-    pivots = placed.groupBy("cluster").agg(F.max_by("class", F.struct("weight", "class")).alias("pivot"), F.count("*").alias("members"))
+    # Written, so that the join below has plain shuffles on both sides and a hot cluster can be split.
+    pivots = scratch.write(placed.groupBy("cluster").agg(F.max_by("class", F.struct("weight", "class")).alias("pivot"), F.count("*").alias("members")))
     return placed.join(pivots, "cluster").select("class", "cluster", "pivot", "members")
 
 
