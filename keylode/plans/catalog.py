@@ -1,4 +1,304 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, and the SQL that each must agree with.
+
+The change log is made of ``events``: seq is event_id (ids rise with time), key the user, value the
+properties, and an ``error`` event deletes.  Keys are strings here, so that any engine can read results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keylode.functions import bloom, codec
+from keylode.operators import consensus, order, runs, state
+
+SEGMENT = 64 << 10
+RUN_EVENTS = 2500
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log.  Names are given before any reduction, so that predicates on key reach the scan."""
+    gone = F.col("event_type") == "error"
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("key"), F.when(~gone, F.col("props")).alias("value"), gone.alias("tombstone"))
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.col("o_orderstatus") == "F"
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("key"), F.when(~gone, F.col("o_orderpriority")).alias("value"), gone.alias("tombstone"))
+
+
+LOG = "log AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value, event_type = 'error' AS tombstone FROM events)"
+STATE = LOG + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log), state AS (SELECT key, value, tombstone, seq FROM ranked WHERE rn = 1)"
+RUNS = LOG + f", runs AS (SELECT *, (seq // {RUN_EVENTS}) AS run_id FROM log), newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY seq DESC) AS rn FROM runs) WHERE rn = 1), merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id DESC) AS r2 FROM newest) WHERE r2 = 1)"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f"WITH {STATE} SELECT key, value, tombstone, seq FROM state")
+def lww_state(spark, d):
+    return state.lww(events_log(spark, d))
+
+
+@query(f"WITH {STATE} SELECT key, value FROM state WHERE NOT tombstone")
+def live_scan(spark, d):
+    return state.live(events_log(spark, d))
+
+
+@query(f"WITH {STATE} SELECT key, value, tombstone FROM state ORDER BY key")
+def ordered_scan(spark, d):
+    return state.ordered_scan(state.lww(events_log(spark, d))).select("key", "value", "tombstone")
+
+
+@query("WITH log AS (SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS key, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS value, o_orderstatus = 'F' AS tombstone FROM orders) SELECT key, value, tombstone, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1")
+def orders_state(spark, d):
+    return state.lww(orders_log(spark, d))
+
+
+@query(f"WITH {STATE}, probes AS (SELECT DISTINCT CAST(user_id * 2 AS VARCHAR) AS key FROM events) SELECT p.key, s.key IS NOT NULL AS found, coalesce(s.tombstone, false) AS tombstone, s.value, CASE WHEN s.key IS NULL THEN 'absent' WHEN s.tombstone THEN 'deleted' ELSE 'live' END AS outcome FROM probes p LEFT JOIN state s ON p.key = s.key")
+def multi_get(spark, d):
+    probes = table(spark, d, "events").select((F.col("user_id") * 2).cast("string").alias("key")).distinct()
+    return state.multi_get(state.lww(events_log(spark, d)), probes)
+
+
+@query(f"WITH {STATE} SELECT key, value, tombstone FROM state WHERE key = '7'")
+def point_get(spark, d):
+    return state.get(state.lww(events_log(spark, d)), "7")
+
+
+@query(f"WITH {STATE} SELECT key, value, tombstone, seq FROM state WHERE key >= '1' AND key < '3'")
+def range_scan(spark, d):
+    return state.range_scan(state.lww(events_log(spark, d)), "1", "3")
+
+
+@query(f"WITH {STATE} SELECT CASE WHEN tombstone THEN 'deleted' ELSE 'live' END AS outcome, count(*) AS keys FROM state GROUP BY 1")
+def outcome_counts(spark, d):
+    s = state.lww(events_log(spark, d))
+    return s.groupBy(state.outcome(F.lit(True), F.col("tombstone")).alias("outcome")).agg(F.count("*").alias("keys"))
+
+
+@query(f"WITH {STATE} SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS memtable_bytes FROM state")
+def memtable_bytes(spark, d):
+    return state.size_bytes(state.lww(events_log(spark, d)))
+
+
+@query(f"WITH {STATE} SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS memtable_bytes, sum(strlen(key) + coalesce(strlen(value), 0)) >= {runs.FLUSH_BYTES} AS is_full FROM state")
+def flush_due(spark, d):
+    return state.is_full(state.lww(events_log(spark, d)), runs.FLUSH_BYTES)
+
+
+@query(f"WITH {LOG}, total AS (SELECT seq, CAST(13 + strlen(key) + CASE WHEN tombstone THEN 0 ELSE strlen(value) END AS BIGINT) AS record_bytes FROM log), s AS (SELECT *, CAST(sum(record_bytes) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM total) SELECT seq, record_bytes, total_bytes, CAST(floor((total_bytes - 1) / {SEGMENT}) AS BIGINT) AS segment FROM s")
+def wal_segments(spark, d):
+    return runs.segments(events_log(spark, d), SEGMENT)
+
+
+@query(f"WITH {STATE}, sized AS (SELECT key, 13 + strlen(key) + coalesce(strlen(value), 0) AS b FROM state), placed AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS number, sum(b) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) - b AS start, sum(b) OVER () AS total FROM sized), entries AS (SELECT * FROM placed WHERE number % 8 = 0) SELECT key, CAST(number AS BIGINT) AS number, CAST(start AS BIGINT) AS offset, CAST(coalesce(lead(start) OVER (ORDER BY number), total) AS BIGINT) AS block_end FROM entries".replace("AS offset", 'AS "offset"'))
+def sparse_index(spark, d):
+    return runs.sparse_index(state.lww(events_log(spark, d)))
+
+
+@query(f"WITH {STATE}, idx AS (SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n FROM state) WHERE n % 8 = 0), probes AS (SELECT DISTINCT CAST(user_id * 2 AS VARCHAR) AS key FROM events) SELECT p.key, (SELECT max(i.key) FROM idx i WHERE i.key <= p.key) AS index_key FROM probes p")
+def floor_lookup(spark, d):
+    s = state.lww(events_log(spark, d))
+    probes = table(spark, d, "events").select((F.col("user_id") * 2).cast("string").alias("key")).distinct()
+    return runs.floor_lookup(runs.sparse_index(s).select("key"), probes)
+
+
+@query(f"WITH {STATE}, idx AS (SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n FROM state) WHERE n % 8 = 0) SELECT key, value, tombstone, seq FROM state WHERE key >= (SELECT max(key) FROM idx WHERE key <= '40') AND key < coalesce((SELECT min(key) FROM idx WHERE key > '40'), 'zzz')")
+def block_range(spark, d):
+    s = state.lww(events_log(spark, d))
+    return runs.block_range(s, runs.sparse_index(s).select("key"), "40")
+
+
+def runs_of_events(spark, d):
+    """The newest operation of each key in each run of RUN_EVENTS events."""
+    log = events_log(spark, d).withColumn("run_id", F.expr(f"seq div {RUN_EVENTS}"))
+    newest = log.groupBy("run_id", "key").agg(F.max_by(F.struct("value", "tombstone", "seq"), "seq").alias("op"))
+    return newest.select("run_id", F.lit(0).alias("level"), "key", "op.value", "op.tombstone", "op.seq")
+
+
+@query(f"WITH {RUNS} SELECT CAST(run_id AS BIGINT) AS run_id, key, value, tombstone, seq FROM newest")
+def sorted_runs(spark, d):
+    return runs_of_events(spark, d).select("run_id", "key", "value", "tombstone", "seq")
+
+
+@query(f"WITH {RUNS} SELECT key, value, tombstone, seq, CAST(run_id AS BIGINT) AS run_id FROM merged WHERE NOT tombstone")
+def compact_runs(spark, d):
+    return runs.compact(runs_of_events(spark, d))
+
+
+@query(f"WITH {RUNS} SELECT key, value, tombstone, seq, CAST(run_id AS BIGINT) AS run_id FROM merged")
+def merge_runs(spark, d):
+    return runs.compact(runs_of_events(spark, d), bottom_level=False)
+
+
+@query(f"WITH {STATE} SELECT key, seq FROM state WHERE tombstone")
+def tombstone_keys(spark, d):
+    return state.lww(events_log(spark, d)).filter("tombstone").select("key", "seq")
+
+
+@query(f"WITH {LOG} SELECT key, count(*) AS writes, CAST(count(*) FILTER (tombstone) AS BIGINT) AS deletes, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY key")
+def write_counts(spark, d):
+    return state.write_counts(events_log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT key, value, tombstone, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 500) WHERE rn = 1")
+def as_of_500(spark, d):
+    return state.as_of(events_log(spark, d), 500)
+
+
+@query(f"WITH {LOG} SELECT seq, key, value, tombstone, row_number() OVER (PARTITION BY key ORDER BY seq) AS version, coalesce(lead(seq) OVER (PARTITION BY key ORDER BY seq), -1) AS valid_to FROM log")
+def key_history(spark, d):
+    return state.history(events_log(spark, d)).withColumn("valid_to", F.coalesce("valid_to", F.lit(-1).cast("long")))
+
+
+@query(f"WITH {STATE} SELECT l.seq, l.key, l.value, l.tombstone FROM log l WHERE EXISTS (SELECT 1 FROM state s WHERE s.key = l.key AND NOT s.tombstone)")
+def bloom_semi_join(spark, d):
+    log = events_log(spark, d)
+    return runs.bloom_semi_join(log, state.live(log)).select("seq", "key", "value", "tombstone")
+
+
+@query(f"WITH {STATE} SELECT l.seq, l.key, l.value, l.tombstone FROM log l WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.key = l.key AND s.tombstone)")
+def tombstone_anti_join(spark, d):
+    log = events_log(spark, d)
+    gone = state.lww(log).filter("tombstone").select("key")
+    return log.join(gone, "key", "left_anti").select("seq", "key", "value", "tombstone")
+
+
+def probe_requests(spark, d):
+    """Gets, puts and deletes made of events: purchases ask, errors delete, all others put."""
+    op = F.when(F.col("event_type") == "purchase", "get").when(F.col("event_type") == "error", "delete").otherwise("put")
+    return table(spark, d, "events").select(F.col("event_id").alias("req_id"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.when(op == "put", F.col("props")).alias("value"))
+
+
+@query(
+    """WITH r AS (SELECT event_id AS req_id, CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'purchase' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'put' END AS op, props FROM events),
+    w AS (SELECT *, max(CASE WHEN op <> 'get' THEN req_id END) OVER (PARTITION BY key ORDER BY req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r)
+    SELECT w.req_id, w.op, w.key, CASE WHEN w.op = 'get' THEN w.last IS NOT NULL ELSE true END AS ok, CASE WHEN w.op = 'get' AND p.op = 'put' THEN p.props END AS value, CASE WHEN w.op = 'get' THEN coalesce(p.op = 'delete', false) ELSE w.op = 'delete' END AS tombstone
+    FROM w LEFT JOIN r p ON p.req_id = w.last"""
+)
+def serve_requests(spark, d):
+    none = spark.createDataFrame([], "key string, value string, tombstone boolean, seq long")
+    return state.serve(probe_requests(spark, d), none)
+
+
+@query()
+def crc_valid(spark, d):
+    """Every record encoded, and its checksum; held against zlib in the tests."""
+    log = events_log(spark, d)
+    coded = log.withColumn("record", codec.encode(F.col("key"), F.col("value"), F.col("tombstone")))
+    return coded.select("seq", F.octet_length("record").cast("long").alias("record_bytes"), F.crc32(codec.body(F.col("key"), F.col("value"), F.col("tombstone"))).alias("crc"), codec.is_valid(F.col("record")).alias("valid"))
+
+
+@query(f"WITH {LOG} SELECT seq, upper(lpad(hex(strlen(key)), 8, '0') || lpad(hex(coalesce(strlen(value), 0)), 8, '0') || CASE WHEN tombstone THEN '01' ELSE '00' END || hex(key) || coalesce(hex(value), '')) AS body FROM log")
+def record_body(spark, d):
+    log = events_log(spark, d)
+    return log.select("seq", F.hex(codec.body(F.col("key"), F.col("value"), F.col("tombstone"))).alias("body"))
+
+
+@query(f"WITH {LOG} SELECT seq, key, value, tombstone, true AS valid FROM log")
+def record_round_trip(spark, d):
+    log = events_log(spark, d)
+    coded = log.select("seq", codec.encode(F.col("key"), F.col("value"), F.col("tombstone")).alias("record"))
+    return codec.decode(coded).select("seq", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "tombstone", "valid")
+
+
+@query()
+def flush_runs_by_threshold(spark, d):
+    """Runs cut where the live bytes reach a threshold: a sequential fold, held against a plain loop in the tests."""
+    return runs.flush_runs(events_log(spark, d), 1024)
+
+
+@query()
+def bloom_bits(spark, d):
+    """Positions that the keys' filter sets; bit-exact, held against known vectors in the tests."""
+    keys = state.lww(events_log(spark, d)).select(F.col("key").cast("binary").alias("key"))
+    return bloom.filter_bits(keys, 10_000)
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, true AS maybe FROM events")
+def bloom_might_contain(spark, d):
+    keys = state.lww(events_log(spark, d)).select("key")
+    filled = bloom.build(keys, 2_000)
+    return keys.withColumn("maybe", bloom.might_contain(filled)(F.col("key").cast("binary")))
+
+
+@query("WITH v AS (SELECT user_id // 10 AS term, user_id % 3 AS candidate, event_id % 7 AS voter, event_type IN ('view', 'click') AS granted FROM events), g AS (SELECT term, candidate, count(DISTINCT voter) AS granted FROM v WHERE granted GROUP BY ALL) SELECT term, candidate, granted, granted >= 7 // 2 + 1 AS won FROM g")
+def vote_majority(spark, d):
+    votes = table(spark, d, "events").select(F.expr("user_id div 10").alias("term"), (F.col("user_id") % 3).alias("candidate"), (F.col("event_id") % 7).alias("voter"), F.col("event_type").isin("view", "click").alias("granted"))
+    members = votes.select("term").distinct().withColumn("n", F.lit(7))
+    return consensus.vote_majority(votes, members)
+
+
+@query("WITH m AS (SELECT o_custkey AS leader, o_orderkey AS match FROM orders), r AS (SELECT leader, match, row_number() OVER (PARTITION BY leader ORDER BY match DESC) AS rn, count(*) OVER (PARTITION BY leader) AS n FROM m), t AS (SELECT o_custkey AS leader, min(o_orderkey) FILTER (o_orderstatus = 'O') AS first_index FROM orders GROUP BY 1) SELECT r.leader, CAST(CASE WHEN match >= first_index THEN match ELSE 0 END AS BIGINT) AS commit_index FROM r JOIN t ON r.leader = t.leader WHERE rn = n // 2 + 1")
+def commit_index(spark, d):
+    orders = table(spark, d, "orders")
+    matches = orders.select(F.col("o_custkey").alias("leader"), F.col("o_orderkey").alias("peer"), F.col("o_orderkey").alias("match"))
+    terms = orders.groupBy(F.col("o_custkey").alias("leader")).agg(F.min(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("first_index"))
+    return consensus.commit_index(matches, terms)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey AS last_term, l_partkey AS last_index, l_partkey % 100 AS own_term, l_orderkey AS own_index, (l_suppkey > l_partkey % 100 OR (l_suppkey = l_partkey % 100 AND l_partkey >= l_orderkey)) AS ok FROM lineitem")
+def up_to_date(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("last_term"), F.col("l_partkey").alias("last_index"), (F.col("l_partkey") % 100).alias("own_term"), F.col("l_orderkey").alias("own_index"))
+    return consensus.up_to_date(rows)
+
+
+OWN = "own AS (SELECT user_id % 5 AS node, event_id AS log_index, event_id // 100 AS term FROM events), sent AS (SELECT user_id % 5 AS node, event_id AS log_index, event_id // 100 + CASE WHEN event_id % 500 > 450 AND event_id > 600 THEN 1 ELSE 0 END AS term FROM events WHERE event_id > 300)"
+
+
+def replica_logs(spark, d):
+    e = table(spark, d, "events")
+    node, i = (F.col("user_id") % 5).alias("node"), F.col("event_id")
+    own = e.select(node, i.alias("log_index"), F.expr("event_id div 100").alias("term"))
+    sent = e.filter(i > 300).select(node, i.alias("log_index"), (F.expr("event_id div 100") + F.when((i % 500 > 450) & (i > 600), 1).otherwise(0)).alias("term"))
+    return own, sent
+
+
+@query(f"WITH {OWN}, c AS (SELECT o.node, min(o.log_index) AS conflict_index FROM own o JOIN sent s ON o.node = s.node AND o.log_index = s.log_index WHERE o.term <> s.term GROUP BY 1) SELECT n.node, c.conflict_index FROM (SELECT DISTINCT node FROM own) n LEFT JOIN c ON c.node = n.node")
+def log_conflict(spark, d):
+    return consensus.log_conflict(*replica_logs(spark, d))
+
+
+@query(f"WITH {OWN}, c AS (SELECT o.node, min(o.log_index) AS ci FROM own o JOIN sent s ON o.node = s.node AND o.log_index = s.log_index WHERE o.term <> s.term GROUP BY 1), kept AS (SELECT o.node, o.log_index, o.term FROM own o LEFT JOIN c ON c.node = o.node WHERE ci IS NULL OR log_index < ci) SELECT node, log_index, CAST(term AS BIGINT) AS term FROM kept UNION ALL SELECT s.node, s.log_index, CAST(s.term AS BIGINT) FROM sent s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.node = s.node AND k.log_index = s.log_index)")
+def append_entries(spark, d):
+    return consensus.appended(*replica_logs(spark, d))
+
+
+@query("SELECT user_id % 5 AS node, event_id AS log_index, props AS value FROM events WHERE event_id > 100 AND event_id <= 100 + 50 * (user_id % 5 + 1)")
+def apply_committed(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("log_index"), F.col("props").alias("value"))
+    commits = e.select("node").distinct().select("node", F.lit(100).alias("last_applied"), (F.lit(100) + 50 * (F.col("node") + 1)).alias("commit_index"))
+    return consensus.applied(e, commits)
+
+
+@query(f"WITH {LOG} SELECT seq, key, row_number() OVER (ORDER BY seq) AS position FROM log")
+def log_positions(spark, d):
+    return order.numbered(events_log(spark, d).select("seq", "key"), "seq", "position", rows_a_range=4000)
+
+
+@query(f"WITH {STATE} SELECT key, value, tombstone, seq FROM state")
+def stream_state(spark, d):
+    """The state kept from the log read as a stream, in its own memory table."""
+    from keylode.streaming import fold
+
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*" if not d.startswith("viewfs") else f"{d}/events.parquet")
+    gone = F.col("event_type") == "error"
+    log = source.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("key"), F.when(~gone, F.col("props")).alias("value"), gone.alias("tombstone"))
+    name = "keylode_stream_state"
+    fold.to_memory(log, name).awaitTermination()
+    return spark.table(name)
