@@ -48,6 +48,15 @@ def gram(hashes: str, at: Column, length: int, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(length + 1000 * salt), *[F.get(F.col(hashes), at + k) for k in range(length)])
 
 
+def grams_at(hashes: str, length: int, salt: int):
+    """A lambda of one argument: the gram that starts there."""
+    return lambda at: gram(hashes, at, length, salt)
+
+
+def known_at(hashes: str, length: int, salt: int):
+    return lambda at: F.array_contains(F.col("fps"), gram(hashes, at, length, salt))
+
+
 def hashed(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, n words, and the words' hashes."""
     split = rows.select(*keys, F.split(F.coalesce("text", F.lit("")), GAP).alias("parts"))
@@ -62,7 +71,7 @@ def fingerprints(rows: DataFrame, *keys: str, short: list[int]) -> DataFrame:
     """keys and fp: kept hashes of each text, each once, and its grams of the short items' lengths."""
     grams = rows.select(*keys, "n", "h", F.transform(span(F.col("n"), K), lambda i: gram("h", i, K)).alias("g"))
     least = F.transform(span(F.col("n"), WINDOW), lambda i: F.least(*[F.get(F.col("g"), i + k) for k in range(WINDOW - K + 1)]))
-    others = [F.transform(span(F.col("n"), s), lambda i, s=s: gram("h", i, s, 1)) for s in short]
+    others = [F.transform(span(F.col("n"), s), grams_at("h", s, 1)) for s in short]
     return grams.select(*keys, F.explode(F.array_distinct(F.concat(least, *others))).alias("fp"))
 
 
@@ -111,7 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     inside = at.select("id", "th", "n", "h", F.explode(around).alias("start")).filter(F.col("start") + WINDOW <= F.col("n"))
     starts.append(inside.select("id", "th", "start", F.lit(WINDOW).alias("length"), gram("h", F.col("start"), WINDOW, 2).alias("a"), gram("h", F.col("start"), WINDOW, 3).alias("b")))
     for s in short:
-        places = near.select("id", "th", "h", F.explode(F.filter(span(F.col("n"), s), lambda i, s=s: F.array_contains(F.col("fps"), gram("h", i, s, 1)))).alias("start"))
+        places = near.select("id", "th", "h", F.explode(F.filter(span(F.col("n"), s), known_at("h", s, 1))).alias("start"))
         starts.append(places.select("id", "th", "start", F.lit(s).alias("length"), gram("h", F.col("start"), s, 2).alias("a"), gram("h", F.col("start"), s, 3).alias("b")))
     hits = scratch.write(reduce(DataFrame.unionByName, starts).join(bounded(distinct_windows), ["a", "b", "length"]))
 
