@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from array import array
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ WINDOW = 1024
 BLOCK_TOKENS = 1 << 21
 BLOCK_DOCS = 8192
 STEP_TOKENS = 8 * WINDOW
-#: Distinct chunks whose ids are remembered by a task; those beyond are encoded each time.
+#: Distinct chunks whose ids are remembered by a worker; those beyond are encoded each time.
 REMEMBERED = 700_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SQL_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -77,6 +78,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str | None) -> Encoder:
+    """The worker's own encoder: what one task has worked out, its next tasks need not."""
+    return Encoder(path)
+
+
 def tiers_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Pack documents of these token counts: (tier, [(document, start, length), ...]) of each sequence."""
     out: list[tuple[int, list[tuple[int, int, int]]]] = []
@@ -145,7 +152,7 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, window
     """Pieces of all documents, with their ids (little-endian unsigned 32 bits)."""
 
     def make():
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         base = TaskContext.get().partitionId() << 36
         made = {"sequence": 0, "group": 0}
 
