@@ -57,13 +57,15 @@ def shape(text: str) -> list[float]:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and values: hashed distinct words (of unit length together), then shapes."""
+    """Numbers of the hashed distinct words, and shapes."""
     import xxhash
 
-    words = {xxhash.xxh32_intdigest(x.lower()) % WIDTH for x in text.split()}
-    at = np.array([*sorted(words), *range(WIDTH, WIDTH + SHAPES)], np.int64)
-    value = np.array([*[1 / np.sqrt(len(words))] * len(words), *shape(text)]) if words else np.array(shape(text))
-    return at, value
+    return np.array(sorted({xxhash.xxh32_intdigest(x.lower()) % WIDTH for x in text.split()}), np.uint16), np.array(shape(text))
+
+
+def vector(words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values: words (of unit length together), then shapes."""
+    return np.concatenate([words, np.arange(WIDTH, WIDTH + SHAPES)]), np.concatenate([np.full(len(words), 1 / np.sqrt(max(1, len(words)))), shapes])
 
 
 class Model:
@@ -73,7 +75,7 @@ class Model:
     def evidence(self, text: str) -> float:
         if self.beta is None:
             return float(np.log(self.prior / (1 - self.prior)))
-        at, value = features(text)
+        at, value = vector(*features(text))
         return float(np.clip(self.beta[-1] + self.beta[at] @ value, -12, 12))
 
 
@@ -83,7 +85,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, epochs: int
     order = np.random.default_rng(3).permutation(len(rows))
     for _ in range(epochs):
         for i in order:
-            at, value = rows[i]
+            at, value = vector(*rows[i])
             z = beta[-1] + beta[at] @ value
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
             step = g * value + ridge * beta[at]
@@ -102,19 +104,20 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = TRAIN_DOCS) -> Mod
         return Model(None, prior)
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, bound / n) * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    schema = pa.schema([("at", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("y", pa.int32())])
+    schema = pa.schema([("words", pa.binary()), ("shapes", pa.list_(pa.float64())), ("y", pa.int32())])
 
     def make():
         def run(batches):
             for batch in batches:
                 got = [features(x or "") for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], schema.field(0).type), pa.array([x[1] for x in got], schema.field(1).type), batch.column(1).cast(pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1] for x in got], schema.field(1).type), batch.column(1).cast(pa.int32())], schema=schema)
 
         return run
 
-    # At most about ``bound`` rows of at most WIDTH + SHAPES numbers each reach the driver.
-    seen = map_arrow(rows, make, "at array<long>, value array<double>, y int").toPandas()
-    return Model(fit([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(seen["at"], seen["value"], strict=True)], seen["y"].to_numpy(float)), prior)
+    # At most about ``bound`` rows of at most WIDTH two-byte numbers and SHAPES values each reach the driver.
+    seen = map_arrow(rows, make, "words binary, shapes array<double>, y int").toArrow()
+    examples = [(np.frombuffer(w, np.uint16), np.array(v)) for w, v in zip(seen["words"].to_pylist(), seen["shapes"].to_pylist(), strict=True)]
+    return Model(fit(examples, seen["y"].to_numpy().astype(float)), prior)
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
