@@ -31,6 +31,8 @@ SCRIPT_SHARE = 0.001
 # First code points of the ranges of scripts.
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x31A0, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han")]
 NAMES = sorted({x[1] for x in SCRIPTS})
+#: Code points whose letters are worked on at once: this bounds memory, however long texts are.
+PIECE = 1 << 19
 
 
 class Letters:
@@ -57,6 +59,29 @@ class Letters:
         return cls.made
 
 
+def pieces(texts: list[str]):
+    """Groups of (text number, offset, part) of about PIECE code points.
+
+    Texts are cut before a character that is no letter, so words and their trigrams stay whole.
+    """
+    alpha = Letters.get()[0]
+    group, size = [], 0
+    for d, x in enumerate(texts):
+        a = 0
+        while a < len(x):
+            b = min(len(x), a + PIECE - size)
+            while b < len(x) and alpha[ord(x[b])]:
+                b += 1
+            group.append((d, a, x[a:b]))
+            size += b - a
+            a = b
+            if size >= PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def features(texts: list[str]):
     """Of all words of the texts: text number, first letter's script, start, end; and of all letters: bucket, word number."""
     alpha, lower, starts, codes = Letters.get()
@@ -80,6 +105,15 @@ def features(texts: list[str]):
     return doc, script, first - origin[doc], ends - origin[doc], bucket, word
 
 
+def features_by_piece(texts: list[str]):
+    """The features of all texts, piece by piece; pieces without a word are left out."""
+    for group in pieces(texts):
+        part, script, start, end, bucket, word = features([x[2] for x in group])
+        if len(part):
+            number, moved = (np.array([x[i] for x in group], np.int64)[part] for i in (0, 1))
+            yield number, script, start + moved, end + moved, bucket, word
+
+
 class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         """counts: languages by buckets; scripts: languages by scripts."""
@@ -128,14 +162,18 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: fl
 def label(model: Model, texts: list[str], penalty: float = SWITCH, spans: bool = False):
     """(language, score, spans) of each text; a span is (start, end, language) in code points."""
     out = [("und", 0.0, [])] * len(texts)
-    doc, script, start, end, bucket, word = features(texts)
-    if not len(doc) or not model.langs:
+    if not model.langs:
+        return out
+    parts = []
+    for doc, script, start, end, bucket, word in features_by_piece(texts):
+        score = np.empty((len(doc), len(model.langs)), np.float32)
+        borders = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        for k in range(len(model.langs)):
+            score[:, k] = np.add.reduceat(model.score[bucket, k], borders)
+        parts.append((doc, start, end, score + model.barred[script]))
+    if not parts:
         return out
-    score = np.empty((len(doc), len(model.langs)), np.float32)
-    borders = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    for k in range(len(model.langs)):
-        score[:, k] = np.add.reduceat(model.score[bucket, k], borders)
-    score += model.barred[script]
+    doc, start, end, score = (np.concatenate(x) for x in zip(*parts, strict=True))
     docs, first, count = np.unique(doc, return_index=True, return_counts=True)
     path = viterbi(score, first, count, penalty)
     weight = np.bincount(doc * len(model.langs) + path, end - start, minlength=len(texts) * len(model.langs)).reshape(-1, len(model.langs))
@@ -169,8 +207,7 @@ def learn(docs: DataFrame, *, bound: int = TRAIN_DOCS) -> Model:
             number = {x: i for i, x in enumerate(langs)}
             for batch in batches:
                 lang = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-                doc, script, start, end, bucket, word = features(batch.column(0).to_pylist())
-                if len(doc):
+                for doc, script, start, end, bucket, word in features_by_piece(batch.column(0).to_pylist()):
                     width = counts.shape[1]
                     counts += np.bincount(lang[doc[word]] * width + bucket, minlength=counts.size).reshape(counts.shape)
                     counts += np.bincount(lang[doc] * width + BUCKETS + script, end - start, minlength=counts.size).reshape(counts.shape).astype(np.int64)
