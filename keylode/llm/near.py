@@ -160,6 +160,14 @@ def described(docs: DataFrame) -> DataFrame:
     return map_arrow(texts(docs), make, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
+def sent(written: DataFrame) -> DataFrame:
+    """A written table for a join: sent everywhere if it is small, so that no hot key is dealt to one task.
+
+    A larger one is shuffled; both sides are plain tables, so adaptive execution can split a hot key.
+    """
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def clusters_of(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """class, cluster, pivot (of the cluster) for classes that share a bucket with another."""
     rows = classes.select("class", F.posexplode("bands").alias("band", "key"))
@@ -169,9 +177,8 @@ def clusters_of(classes: DataFrame, scratch: Scratch) -> DataFrame:
     labels = components(edges, scratch)
     weights = members.groupBy("class").agg(F.sum("weight").alias("weight"))
     placed = scratch.write(labels.join(weights, labels["node"] == weights["class"]).select("class", F.col("label").alias("cluster"), "weight"), drop=[members])
-    # Written, so that the join below has plain shuffles on both sides and a hot cluster can be split.
     pivots = scratch.write(placed.groupBy("cluster").agg(F.max_by("class", F.struct("weight", "class")).alias("pivot"), F.count("*").alias("members")))
-    return placed.join(pivots, "cluster").select("class", "cluster", "pivot", "members")
+    return placed.join(sent(pivots), "cluster").select("class", "cluster", "pivot", "members")
 
 
 def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
@@ -181,8 +188,7 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
     part = F.when(F.col("class") == F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), parts.cast("long")).cast("int")))
     wanted = clusters.join(classes.select("class", "doc_id"), "class").select("class", "cluster", "pivot", "members", "doc_id", F.explode(part).alias("part"))
     wanted = scratch.write(wanted)
-    hint = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda x: x)
-    dealt = texts(docs).filter("text IS NOT NULL").join(hint(wanted), "doc_id").withColumn("lead", (F.col("class") != F.col("pivot")).cast("int"))
+    dealt = texts(docs).filter("text IS NOT NULL").join(sent(wanted), "doc_id").withColumn("lead", (F.col("class") != F.col("pivot")).cast("int"))
     dealt = dealt.repartition(partitions(docs), "cluster", "part").sortWithinPartitions("cluster", "part", "lead", "class")
 
     def make():
@@ -222,8 +228,8 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
 def links_of(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links that connect all linked classes of each cluster."""
     star = members.filter("linked AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
-    open_clusters = members.filter("NOT linked AND members > 2").select("cluster").distinct()
-    rows = members.join(open_clusters, "cluster", "left_semi")
+    open_clusters = scratch.write(members.filter("NOT linked AND members > 2").select("cluster").distinct())
+    rows = members.join(sent(open_clusters), "cluster", "left_semi")
     rows = scratch.write(rows.select("class", "cluster", "linked", "n", "delta", F.size("delta").alias("d")))
     elements = rows.select("class", "cluster", "linked", "n", "d", F.explode("delta").alias("e"))
     counts = elements.groupBy("cluster", "e").agg(F.count("*").alias("df")).filter("df > 1")
