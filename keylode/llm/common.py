@@ -67,11 +67,27 @@ def cleanup_local(spark: SparkSession) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def give_back() -> None:
+    """A worker outlives its tasks: what a task has freed goes back to the system, for the stages that follow."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # a C library without it
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with byte-bounded batches.  make() runs once in each task and returns the mapper."""
 
     def run(batches):
-        yield from make()(batches)
+        try:
+            yield from make()(batches)
+        finally:
+            give_back()
 
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
