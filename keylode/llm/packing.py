@@ -33,6 +33,8 @@ BLOCK_DOCS = 8192
 STEP_TOKENS = 8 * WINDOW
 #: Distinct chunks whose ids are remembered by a worker; those beyond are encoded each time.
 REMEMBERED = 700_000
+#: Strings that go to the tokenizer at once.
+SLICE = 4096
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SQL_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -55,7 +57,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(texts), SLICE):  # the encoder's own objects are many times as large as the ids
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[k : k + SLICE], add_special_tokens=False)]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
