@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from keylode.llm import decontaminate, near, packing, repeats, toxicity
 from keylode.llm.common import Scratch, held_out, table
 
+#: Near copies have at least so many percent of their five-word shingles in common.
+NEAR_PERCENT = 80
 #: Ids to drop are sent everywhere up to so many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest id."""
-    return without(docs, near.near_duplicates(docs).filter("NOT kept"))
+    return without(docs, near.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

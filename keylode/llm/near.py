@@ -4,7 +4,7 @@ A document's set holds the hashes of its five-word shingles.  Fast similarity sk
 coordinates in rounds: in round i every element throws itself into a hashed bin with a hashed value
 above i, and the bin keeps its least; after as many rounds as bins, round COORDS + b puts all elements
 into bin b, so every coordinate is filled.  Work is proportional to the set and to COORDS log COORDS.
-BANDS bands of ROWS coordinates make buckets.
+Bands of some coordinates each make buckets; ``banding`` chooses both for the least likeness of a link.
 
 Equal sets are one class; classes that share buckets (each with the bucket's first class, transitively)
 form a cluster.  Links within a cluster are then found exactly and without comparing all pairs:
@@ -17,7 +17,7 @@ form a cluster.  Links within a cluster are then found exactly and without compa
    rarest first, with bounds by sizes and by elements that no other member has, leaves few; these are
    verified on their whole D's.
 
-Two classes that link at 0.85 miss each other in all bands with a chance of about 1 in 100,000.
+Two classes at the least likeness of a link miss each other in all bands with a chance of about 1 in 100,000.
 
 Defined results: without words or text a document's set is empty and it is linked with nothing; fewer
 than five words are one shingle; repeated rows are equal sets; rows of one doc_id count as one document
@@ -26,6 +26,8 @@ in a component; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,19 +37,32 @@ from keylode.llm.common import Scratch, map_arrow, partitions, table, texts
 from keylode.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 36, 8
-COORDS = BANDS * ROWS
 PART = 500
 BROADCAST_ROWS = 100_000
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links of op9: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Chance that a pair at the least likeness of a link shares no bucket.
+MISS = 1.1e-5
 CHUNK = 1 << 20
 
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and coordinates of each, for links at percent."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not within 50 and 100")
+    rows = 8 if percent >= 85 else 6 if percent >= 75 else 4
+    miss = 1 - (percent / 100) ** rows
+    return (math.ceil(math.log(MISS) / math.log(miss)) if miss else 1), rows
+
+
+BANDS, ROWS = banding(PERCENT)
+COORDS = BANDS * ROWS
+
 _rng = np.random.default_rng(0x5EED)
 _PLACE = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROUND = _rng.integers(1, 1 << 63, 2 * COORDS, dtype=np.uint64)
+_ROUND = _rng.integers(1, 1 << 63, 2048, dtype=np.uint64)  # two for each coordinate
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
@@ -106,37 +121,38 @@ def _sets(parts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """COORDS coordinates; equal for equal sets, and equal in each with a chance of the sets' likeness."""
+def sketch(elements: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """So many coordinates; equal for equal sets, and equal in each with a chance of the sets' likeness."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    bins = np.full(COORDS, empty, np.uint64)
+    bins = np.full(coords, empty, np.uint64)
     n, i = len(elements), 0
-    while i < COORDS:
-        rounds = min(COORDS - i, max(1, 7 * COORDS // n))
+    while i < coords:
+        rounds = min(coords - i, max(1, 7 * coords // n))
         h = mix(elements[None, :] ^ _ROUND[i : i + rounds, None])
-        where = ((h >> np.uint64(32)) * np.uint64(COORDS) >> np.uint64(32)).ravel()
+        where = ((h >> np.uint64(32)) * np.uint64(coords) >> np.uint64(32)).ravel()
         value = ((h & np.uint64(0xFFFFFFFF)) | (np.arange(i, i + rounds, dtype=np.uint64) << np.uint64(32))[:, None]).ravel()
         np.minimum.at(bins, where.astype(np.int64), value)
         i += rounds
         if not (bins == empty).any():
             return bins
     for b in np.flatnonzero(bins == empty):
-        h = mix(elements ^ _ROUND[COORDS + b])
-        bins[b] = (h & np.uint64(0xFFFFFFFF)).min() | np.uint64(COORDS + int(b)) << np.uint64(32)
+        h = mix(elements ^ _ROUND[coords + b])
+        bins[b] = (h & np.uint64(0xFFFFFFFF)).min() | np.uint64(coords + int(b)) << np.uint64(32)
     return bins
 
 
-def band_keys(bins: np.ndarray) -> np.ndarray:
-    return mix((mix(bins).reshape(BANDS, ROWS) * _BAND).sum(1, dtype=np.uint64))
+def band_keys(bins: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    return mix((mix(bins).reshape(-1, rows) * _BAND[:rows]).sum(1, dtype=np.uint64))
 
 
-def links(inter: int, a: int, b: int) -> bool:
-    return 100 * inter >= PERCENT * (a + b - inter)
+def links(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (digest of the set), bands (keys, little-endian) of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    bands, size = banding(percent)
 
     def make():
         import xxhash
@@ -150,7 +166,7 @@ def described(docs: DataFrame) -> DataFrame:
                     if digest and digest not in known:
                         if len(known) > 5000:
                             known.clear()
-                        known[digest] = band_keys(sketch(own)).view(np.int64)
+                        known[digest] = band_keys(sketch(own, bands * size), size).view(np.int64)
                     for column, v in zip(rows, (doc_id, len(own), digest, known[digest] if digest else None), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, rows, strict=True)], schema=schema)
@@ -181,7 +197,7 @@ def clusters_of(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.join(sent(pivots), "cluster").select("class", "cluster", "pivot", "members")
 
 
-def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """class, cluster, pivot, members, n, linked (to the pivot), delta (sorted; the low bit marks what the pivot has)."""
     schema = pa.schema([("class", pa.binary()), ("cluster", pa.binary()), ("pivot", pa.binary()), ("members", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))])
     parts = F.ceil(F.col("members") / PART).cast("int")
@@ -216,7 +232,7 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
                     one = np.uint64(1)
                     added, lost = np.setdiff1d(own, base, assume_unique=True) & ~one, np.setdiff1d(base, own, assume_unique=True) | one
                     delta = np.sort(np.concatenate([added, lost])).view(np.int64)
-                    for column, v in zip(rows, (cls, cluster, center, members, len(own), links(inter, len(own), len(base)), delta), strict=True):
+                    for column, v in zip(rows, (cls, cluster, center, members, len(own), links(inter, len(own), len(base), percent), delta), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, rows, strict=True)], schema=schema)
 
@@ -225,8 +241,10 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
     return map_arrow(dealt, make, "class binary, cluster binary, pivot binary, members long, n long, linked boolean, delta array<long>")
 
 
-def links_of(members: DataFrame, scratch: Scratch) -> DataFrame:
+def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): links that connect all linked classes of each cluster."""
+    # 100 * intersection >= percent * union says as much as plus * difference <= minus * (n + m).
+    plus, minus = 100 + percent, 100 - percent
     star = members.filter("linked AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
     open_clusters = scratch.write(members.filter("NOT linked AND members > 2").select("cluster").distinct())
     rows = members.join(sent(open_clusters), "cluster", "left_semi")
@@ -235,32 +253,32 @@ def links_of(members: DataFrame, scratch: Scratch) -> DataFrame:
     counts = elements.groupBy("cluster", "e").agg(F.count("*").alias("df")).filter("df > 1")
     shared = elements.join(counts, ["cluster", "e"])
     # own: elements that no other member has.  A pair differs by those at least, and links only if
-    # 37 * difference <= 3 * (n + m); a partner has at most n / 0.85 shingles.
+    # plus * difference <= minus * (n + m); a partner has at most n * 100 / percent shingles.
     kept = shared.groupBy("class", "cluster", "linked", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
-    kept = kept.withColumn("own", F.col("d") - F.size("s")).withColumn("most", F.floor(F.expr("3 * (n + n / 0.85D) / 37 + 1e-6D")).cast("int"))
+    kept = kept.withColumn("own", F.col("d") - F.size("s")).withColumn("most", F.floor(F.expr(f"{minus} * (n + n * 100 / {percent}D) / {plus} + 1e-6D")).cast("int"))
     kept = kept.filter("own <= most").withColumn("prefix", F.slice("s", 1, F.least(F.size("s"), F.col("most") + 1 - F.col("own"))))
     kept = scratch.write(kept.select("class", "cluster", "linked", "n", "d", "own", F.col("prefix.e").alias("prefix")))
     probe = kept.select("class", "cluster", "linked", "n", "d", "own", F.explode("prefix").alias("e"))
     x = probe.filter("NOT linked").select(F.col("class").alias("a"), "cluster", "e", F.col("n").alias("an"), F.col("d").alias("ad"), F.col("own").alias("ao"))
     y = probe.select(F.col("class").alias("b"), "cluster", "e", F.col("linked").alias("bl"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("own").alias("bo"))
-    able = "a <> b AND (bl OR a < b) AND 37 * (ad + bd - 2 * least(ad - ao, bd - bo)) <= 3 * (an + bn) AND 37 * abs(ad - bd) <= 3 * (an + bn)"
+    able = f"a <> b AND (bl OR a < b) AND {plus} * (ad + bd - 2 * least(ad - ao, bd - bo)) <= {minus} * (an + bn) AND {plus} * abs(ad - bd) <= {minus} * (an + bn)"
     pairs = x.join(y, [x["cluster"] == y["cluster"], x["e"] == y["e"], F.expr(able)]).select("a", "b").distinct()
     full = rows.select(F.col("class").alias("a"), F.col("delta").alias("da"), F.col("n").alias("na"))
     other = rows.select(F.col("class").alias("b"), F.col("delta").alias("db"), F.col("n").alias("nb"))
     both = pairs.join(full, "a").join(other, "b")
     differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    more = both.filter(37 * differ <= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    more = both.filter(plus * differ <= minus * (F.col("na") + F.col("nb"))).select("a", "b")
     return star.union(more)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; links at a likeness of percent or more."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(described(docs))
+    rows = scratch.write(described(docs, percent))
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     clusters = scratch.write(clusters_of(classes, scratch))
-    members = scratch.write(compared(docs, classes, clusters, scratch))
-    found = components(links_of(members, scratch), scratch)
+    members = scratch.write(compared(docs, classes, clusters, scratch, percent))
+    found = components(links_of(members, scratch, percent), scratch)
     named = classes.select("class", "doc_id").join(found, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.write(named.select("class", "label").join(least, "label").select("class", "component_id"))

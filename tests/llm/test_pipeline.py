@@ -1,12 +1,14 @@
 """The pipeline's stages, each on its own input, against brute force where a stage is exact."""
 
 import collections
+import random
 import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import brute_repeats
+from keylode.llm import near
+from tests.llm.test_operators import brute_repeats, docs_of, shingles, words
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -50,3 +52,22 @@ def test_stages(spark, sf_dir, tmp_path):
     assert {r["doc_id"] for r in seen[4]} == clean
     assert {r["doc_id"] for r in seen[5]} == clean
     assert corpus_pipeline.run(spark, sf_dir).count() == len(seen[5])
+
+
+def test_near_stage_takes_copies_at_80_percent(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        base = words(rng, 120).split()
+        rows.append((2 * i, " ".join(base)))
+        for at in rng.sample(range(5, 110, 10), i % 5):  # each change takes five shingles of 116
+            base[at] = f"x{i}-{at}"
+        rows.append((2 * i + 1, " ".join(base)))
+    sets = {i: shingles(t) for i, t in rows}
+    link = lambda a, b, percent: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    assert any(link(i, i + 1, 80) and not link(i, i + 1, 85) for i in range(0, 80, 2))
+    docs = docs_of(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'x' AS source", "length(text) AS n_chars")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near(spark, docs, None).collect()}
+    assert kept == {i for i in sets if i % 2 == 0 or not link(i - 1, i, 80)}
+    kept = {r["doc_id"] for r in near.near_duplicates(docs).filter("kept").collect()}
+    assert kept == {i for i in sets if i % 2 == 0 or not link(i - 1, i, 85)}
