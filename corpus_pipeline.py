@@ -13,6 +13,8 @@ from keylode.llm.common import Scratch, held_out, table
 
 #: Near copies have at least so many percent of their five-word shingles in common.
 NEAR_PERCENT = 80
+#: Passages of over so many words that repeat are cut.
+REPEATED_WORDS = 50
 #: Ids to drop are sent everywhere up to so many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,8 +38,8 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat are cut out of the texts; documents stay."""
-    return repeats.without_repeats(docs)
+    """Passages of over 50 words that repeat, and any of 400 bytes, are cut out of the texts; documents stay."""
+    return repeats.without_repeats(docs, REPEATED_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Suffix-array dedup: find every byte covered by a string of LENGTH bytes that starts twice in the corpus.
 
+LENGTH is what op2 takes; ``repeated_spans`` and ``without_repeats`` take any length from K + PIECE on.
+
 1. Each string of LENGTH bytes has an anchor: its K-gram of least hash, the first of equals.  Equal
    strings have equal anchors at equal offsets, so strings are gathered by anchors.  A run is the strings
    in a row that share one anchor's place (some two runs in LENGTH bytes); equal runs (hash of their
@@ -118,7 +120,7 @@ def keyed(docs: DataFrame, *extra) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(own).alias("th"), own.alias("text"), *extra)
 
 
-def anchored(docs: DataFrame) -> DataFrame:
+def anchored(docs: DataFrame, length: int) -> DataFrame:
     """h (anchor), p (hash of the run), id, th, m strings, o (anchor's offset), at: where the document has the run."""
     schema = pa.schema([("h", pa.int64()), ("p", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("m", pa.int32()), ("o", pa.int32()), ("at", pa.list_(pa.int64()))])
 
@@ -131,10 +133,10 @@ def anchored(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 columns = tuple([] for _ in schema)
                 texts = [x.encode() if x else b"" for x in batch.column(2).to_pylist()]
-                for id_, th, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, runs_of(texts), strict=True):
+                for id_, th, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, runs_of(texts, length), strict=True):
                     own: dict[tuple, list[int]] = {}
                     for a, m, o, h in found:
-                        own.setdefault((h, digest(text[a : a + m - 1 + LENGTH], o), m, o), []).append(a)
+                        own.setdefault((h, digest(text[a : a + m - 1 + length], o), m, o), []).append(a)
                     for (h, p, m, o), at in own.items():
                         for column, v in zip(columns, (signed(h), signed(p), id_, th, m, o, at), strict=True):
                             column.append(v)
@@ -145,14 +147,14 @@ def anchored(docs: DataFrame) -> DataFrame:
     return map_arrow(keyed(docs), make, "h long, p long, id long, th long, m int, o int, at array<long>")
 
 
-def pieces(text: bytes, start: int, m: int, o: int):
+def pieces(text: bytes, start: int, m: int, o: int, length: int):
     """(block, first string's start, strings, core, left, right) of a run; text holds the run's bytes from start on."""
     anchor = start + o
     for j in range(max(0, o - m + 1) // PIECE, o // PIECE + 1):
         high, low = anchor - PIECE * j, anchor - PIECE * j - PIECE + 1
         a, b = max(start, low), min(start + m - 1, high)
         if a <= b:
-            yield j, a, b - a + 1, text[high - start : low + LENGTH - start], text[a - start : high - start], text[low + LENGTH - start : b + LENGTH - start]
+            yield j, a, b - a + 1, text[high - start : low + length - start], text[a - start : high - start], text[low + length - start : b + length - start]
 
 
 class Open:
@@ -194,7 +196,7 @@ class Open:
                     a = y
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, length: int) -> DataFrame:
     """rows: h, id, th, s, m, o, c, bytes of differing runs -> id, th, first, last start of repeated strings."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
@@ -207,7 +209,7 @@ def settled(rows: DataFrame) -> DataFrame:
             def close(group):
                 by_core: dict[tuple, dict[tuple, list]] = {}
                 for id_, th, s, m, o, c, text in group:
-                    for j, a, n, core, left, right in pieces(text, s, m, o):
+                    for j, a, n, core, left, right in pieces(text, s, m, o, length):
                         by_core.setdefault((j, xxhash.xxh3_128_digest(core)), {}).setdefault((left, right, n), []).append((id_, th, a, n, c))
                 for wholes in by_core.values():
                     for (_, _, n), members in wholes.items():
@@ -265,10 +267,12 @@ def counted(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return equal.unionByName(part)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, th (key of a text) and spans: what of it is repeated, as merged (start, end) in bytes."""
+    if length < K + PIECE:
+        raise ValueError(f"length is {length}, under {K + PIECE}")
     scratch = Scratch(docs.sparkSession)
-    found = scratch.write(anchored(docs))
+    found = scratch.write(anchored(docs, length))
     by_run = scratch.write(found.groupBy("h", "p").agg(F.sum(F.size("at")).alias("c"), F.min(F.struct("id", "th", F.get("at", F.lit(0)).alias("s"))).alias("ref"), F.first("m").alias("m"), F.first("o").alias("o")))
     again = by_run.filter("c > 1").select("h", "p")
     whole = found.join(again, ["h", "p"], "left_semi").select("id", "th", "m", F.explode("at").alias("first")).select("id", "th", "first", (F.col("first") + F.col("m") - 1).alias("last"))
@@ -289,12 +293,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     text = text.encode()
                     for r in wanted:
                         h, s, m, o, c = r["h"], r["s"], r["m"], r["o"], r["c"]
-                        own = text[s : s + m - 1 + LENGTH]
+                        own = text[s : s + m - 1 + length]
                         if not r["hot"]:
                             rows = [(h, id_, th, s, m, o, c, own, False, 0, 0, 0, 0, 0, b"", b"")]
                         else:
                             rows = []
-                            for j, a, n, core, left, right in pieces(own, s, m, o):
+                            for j, a, n, core, left, right in pieces(own, s, m, o, length):
                                 x = xxhash.xxh3_128_intdigest(core)
                                 rows.append((h, id_, th, 0, 0, 0, c, b"", True, j, signed(x >> 64), signed(x & (1 << 64) - 1), a, n, left, right))
                         for row in rows:
@@ -306,23 +310,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     held = keyed(docs).filter("text IS NOT NULL").join(per_doc, ["id", "th"]).select("id", "th", "text", "runs")
     cut = scratch.write(map_arrow(held, make, "h long, id long, th long, s long, m int, o int, c int, bytes binary, hot boolean, j int, core long, core2 long, a long, n int, left binary, right binary"), drop=[per_doc])
-    some = settled(cut.filter("NOT hot"))
+    some = settled(cut.filter("NOT hot"), length)
     many = counted(cut.filter("hot").select("h", "j", "core", "core2", "id", "th", "a", "n", "left", "right", F.col("c")), scratch)
     every = whole.unionByName(some).unionByName(many)
     spans = every.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("strings"))
     merged = F.aggregate(
         "strings",
         F.array().cast("array<struct<start:long,end:long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["first"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["last"] + LENGTH).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["first"].alias("start"), (x["last"] + LENGTH).alias("end"))))),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["first"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["last"] + length).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["first"].alias("start"), (x["last"] + length).alias("end"))))),
     )
     return spans.select("id", "th", merged.alias("spans"))
 
 
-def removed(docs: DataFrame, *extra) -> DataFrame:
+def removed(docs: DataFrame, *extra, length: int = LENGTH) -> DataFrame:
     """doc_id, text, extra columns and the spans that are to go, for every document."""
     # The document's own null id is kept apart from the key.
     own = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *extra)
-    return own.join(repeated_spans(docs), ["id", "th"], "left").select("doc_id", "text", "spans", *[x for x in own.columns if x not in ("id", "th", "doc_id", "text")])
+    return own.join(repeated_spans(docs, length), ["id", "th"], "left").select("doc_id", "text", "spans", *[x for x in own.columns if x not in ("id", "th", "doc_id", "text")])
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
@@ -348,11 +352,22 @@ def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return map_arrow(removed(table(spark, sf_dir, "documents")), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words (no space among them) of data that lie within start and end as a whole."""
+    n = len(data[start:end].split())
+    inner = lambda at: 0 < at < len(data) and not data[at - 1 : at].isspace() and not data[at : at + 1].isspace()
+    return max(0, n - inner(start) - inner(end))
+
+
+def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
     """doc_id, text, lang, source, n_chars of every document, its repeated spans cut out of the text.
 
+    Spans are made of repeated strings of LENGTH bytes.  With ``words``, also every passage of over so many
+    words that repeats is cut: spans are made of strings of 2 * words + 1 bytes, the least that words + 1
+    words and the spaces between them take, and those of over ``words`` words or of LENGTH bytes and more go.
     A character of which only some bytes are repeated stays.
     """
+    length = LENGTH if words is None else min(LENGTH, 2 * words + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
     def make():
@@ -364,6 +379,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         data, kept, at = text.encode(), [], 0
                         for x in spans:
                             start, end = x["start"], x["end"]
+                            if words is not None and end - start < LENGTH and whole_words(data, start, end) <= words:
+                                continue
                             while start < end and data[start] & 0xC0 == 0x80:
                                 start += 1
                             while start < end < len(data) and data[end] & 0xC0 == 0x80:
@@ -377,4 +394,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_arrow(removed(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")), make, "doc_id long, text string, lang string, source string, n_chars long")
+    return map_arrow(removed(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), length=length), make, "doc_id long, text string, lang string, source string, n_chars long")

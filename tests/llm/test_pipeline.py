@@ -71,3 +71,17 @@ def test_near_stage_takes_copies_at_80_percent(spark):
     assert kept == {i for i in sets if i % 2 == 0 or not link(i - 1, i, 80)}
     kept = {r["doc_id"] for r in near.near_duplicates(docs).filter("kept").collect()}
     assert kept == {i for i in sets if i % 2 == 0 or not link(i - 1, i, 85)}
+
+
+def test_repeats_stage_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(12)
+    passages = {n: words(rng, n) for n in (45, 50, 51, 60)} | {0: " ".join("abcdefghijklm"[rng.randrange(13)] for _ in range(51))}
+    assert all(len(x) < 400 for x in passages.values()) and len(passages[0]) == 101
+    rows, left = [], {}
+    for n, x in passages.items():
+        for k in (0, 1):
+            before, after = f"b{n}-{k} {words(rng, 20)} B{n}{k} ", f" {'AC'[k]}{n}{k} {words(rng, 20)}"
+            rows.append((2 * n + k, before + x + after))
+            left[2 * n + k] = (before + x + after) if 0 < n <= 50 else before.rstrip(" ") + after.lstrip(" ")
+    docs = docs_of(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'x' AS source", "length(text) AS n_chars")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, docs, None).collect()} == left
