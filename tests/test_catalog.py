@@ -38,3 +38,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("rows", [900, 9000])
+def test_positions_follow_the_log(spark, tmp_path, rows):
+    made = spark.range(rows).selectExpr("id AS event_id", "id * 7 % 45 AS user_id", "if(id % 11 = 0, 'error', 'view') AS event_type", "concat('p', id) AS props")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name, column, least, most in (("as_of_middle", "seq", 0.45, 0.5), ("apply_majority", "log_index", 0.9, 1)):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        got = df.collect()
+        r = con.execute(catalog.ORACLE_SQL[name])
+        assert rows_of(df.columns, got) == rows_of([c[0] for c in r.description], r.fetchall())
+        assert least * rows <= max(r[column] for r in got) < most * rows
+        assert name == "as_of_middle" or len(got) >= least * rows
