@@ -46,7 +46,7 @@ class Letters:
             n = 0x110000
             alpha = np.zeros(n, bool)
             lower = np.arange(n, dtype=np.uint32)
-            for c in [*range(0xD800), *range(0xE000, 0x32000)]:
+            for c in [*range(0xD800), *range(0xE000, n)]:
                 x = chr(c)
                 if x.isalpha():
                     alpha[c] = True
@@ -189,16 +189,29 @@ def label(model: Model, texts: list[str], penalty: float = SWITCH, spans: bool =
     return out
 
 
+def level(counts: list[int], bound: int) -> float:
+    """The most documents of a language, so that all take about ``bound``: those with fewer are taken whole."""
+    left = bound
+    for i, n in enumerate(sorted(counts)):
+        even = left / (len(counts) - i)
+        if n > even:
+            return even
+        left -= n
+    return max(counts)
+
+
 def learn(docs: DataFrame, *, bound: int = TRAIN_DOCS) -> Model:
-    """Counts over at most about ``bound`` of the given documents; the sums are made by Spark."""
+    """Counts over at most about ``bound`` of the given documents, rare languages whole; the sums are made by Spark."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per_lang = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(NAMES))))
-    share = bound / sum(per_lang.values())
-    if share < 1:
-        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    most = level(list(per_lang.values()), bound)
+    thinned = [F.lit(x) for lang, n in per_lang.items() if n > most for x in (lang, int(most / n * (1 << 20)))]
+    if thinned:
+        share = F.coalesce(F.try_element_at(F.create_map(*thinned), F.col("lang")), F.lit(1 << 20))
+        own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     schema = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def make():

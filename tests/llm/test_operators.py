@@ -394,3 +394,16 @@ def test_registered_sql(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     assert df.columns == [c[0] for c in r.description]
     assert sorted(map(tuple, df.collect())) == sorted(r.fetchall())
+
+
+def test_language_sample_takes_rare_languages_whole(spark):
+    rows = [(i, f"common w{i % 7}", "en") for i in range(3000)] + [(5000 + i, f"rarely v{i % 3}", "xx") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    thin = langid.learn(docs, bound=100)
+    assert [r["lang_pred"] for r in langid.identify(docs.filter("lang = 'xx'"), thin).collect()] == ["xx"] * 6
+    assert langid.level([3000, 6], 100) == 94 and langid.level([3, 6], 100) == 6
+
+
+def test_letters_to_the_end_of_unicode():
+    alpha = langid.Letters.get()[0]
+    assert all(alpha[c] == chr(c).isalpha() for c in range(0x31F00, 0x110000))
