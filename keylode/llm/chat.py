@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import map_arrow, partitions, table
+from keylode.llm.common import map_arrow, partitions, small_batches, table
 
 OPEN, CLOSE = "### ", "</turn>\n"
 BUDGET = 512
@@ -197,6 +197,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     planted = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

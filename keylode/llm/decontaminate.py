@@ -86,8 +86,8 @@ def windows_of_items(items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, keyed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document; keyed: also th (hash of its text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = hashed(own, "doc_id", "th").select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"), "th", F.col("n").cast("long").alias("n_words"))
     out = sizes.join(result, ["id", "th"], "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *(["th"] if keyed else []))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import held_out, map_arrow, table
+from keylode.llm.common import held_out, map_arrow, small_batches, table
 
 TRAIN_DOCS = 60_000
 BUCKETS = 1 << 16
@@ -251,6 +251,7 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = SWITCH, spans: b
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
     out = identify(docs, model, spans=False)

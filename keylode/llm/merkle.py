@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import map_arrow, partitions, table, texts
+from keylode.llm.common import map_arrow, partitions, small_batches, table, texts
 
 LEAF = 48
 #: One paragraph in so many ends a section.
@@ -219,4 +219,5 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return edits_and_neighbours(table(spark, sf_dir, "documents"))

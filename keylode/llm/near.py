@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import Scratch, map_arrow, partitions, table, texts
+from keylode.llm.common import Scratch, map_arrow, partitions, small_batches, table, texts
 from keylode.llm.components import components
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ BROADCAST_ROWS = 100_000
 PERCENT = 85
 #: Chance that a pair at the least likeness of a link shares no bucket.
 MISS = 1.1e-5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -150,8 +150,8 @@ def links(inter: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 
 def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set), bands (keys, little-endian) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, th (hash of the text), n_shingles, class (digest of the set), bands (keys, little-endian) of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
     bands, size = banding(percent)
 
     def make():
@@ -160,20 +160,20 @@ def described(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         def run(batches):
             known: dict[bytes, np.ndarray] = {}
             for batch in batches:
-                rows = ([], [], [], [])
-                for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
+                rows = ([], [], [], [], [])
+                for doc_id, th, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                     digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
                     if digest and digest not in known:
-                        if len(known) > 5000:
+                        if len(known) > 2000:
                             known.clear()
                         known[digest] = band_keys(sketch(own, bands * size), size).view(np.int64)
-                    for column, v in zip(rows, (doc_id, len(own), digest, known[digest] if digest else None), strict=True):
+                    for column, v in zip(rows, (doc_id, th, len(own), digest, known[digest] if digest else None), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, rows, strict=True)], schema=schema)
 
         return run
 
-    return map_arrow(texts(docs), make, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return map_arrow(texts(docs, F.xxhash64(F.col("text").cast("string")).alias("th")), make, "doc_id long, th long, n_shingles long, class binary, bands array<long>")
 
 
 def sent(written: DataFrame) -> DataFrame:
@@ -271,8 +271,12 @@ def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     return star.union(more)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document; links at a likeness of percent or more."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; links at a likeness of percent or more.
+
+    keyed: also th (hash of the row's text) and label (of its component; null for an empty set), which
+    tell rows of one or of no doc_id apart.
+    """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(described(docs, percent))
     classes = scratch.write(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
@@ -281,13 +285,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(links_of(members, scratch, percent), scratch)
     named = classes.select("class", "doc_id").join(found, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = scratch.write(named.select("class", "label").join(least, "label").select("class", "component_id"))
-    out = rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    of_class = scratch.write(named.select("class", "label").join(least, "label").select("class", "component_id", "label"))
+    out = rows.select("doc_id", "th", "n_shingles", "class").join(of_class, "class", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *(["th", "label"] if keyed else []))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

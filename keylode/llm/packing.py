@@ -1,14 +1,20 @@
 """Packing: hierarchical multi-length packing into power-of-two context tiers.
 
 Documents become token ids (byte-level BPE, then id 0 as the end mark).  Whole windows of the longest
-tier are cut off first; what is left of each document is routed to the tier that it needs, the longest
-tiers are filled first, gaps in them are closed with pieces from shorter tiers, and what no longer
-fills a window is cut into shorter full tiers.  Every sequence therefore has exactly a power of two of
-ids and needs no padding.  Full sequences are dealt to step groups of equal token counts.
+tier are cut off first; what is left of each document is routed to the smallest of the tiers that holds
+it.  Tiers are packed from the longest down: a window takes one document of its own tier, its gap is
+filled with whole documents of shorter tiers, the longest that fit first, and only what is then left of
+the gap takes a piece cut from the shortest document.  The last window is cut into full powers of two.
+Every sequence therefore has exactly a power of two of ids and needs no padding.  Full sequences are
+dealt to step groups of equal token counts, each of one tier.
 
 Packing is local to an input partition and needs no shuffle: a block of at most BLOCK_TOKENS ids is
 held at once, and sequence ids hold the partition's number, so a task that runs again repeats them.
 
+Memory: texts are encoded in slices of SLICE bytes, cut only where the tokenizer always cuts (before
+white space, and between letters and digits), as its own objects take some thirty times a text's size;
+remembered chunks are bounded in bytes.
+
 Defined results: a null or empty text is one id (the end mark); repeated rows and equal ids are packed
 as rows of their own; an empty table gives no rows; other columns are ignored.
 """
@@ -16,6 +22,7 @@ as rows of their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from bisect import bisect_right, insort
 from functools import lru_cache
@@ -25,26 +32,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import map_arrow, texts
+from keylode.llm.common import map_arrow, small_batches, table, texts
 
 WINDOW = 1024
 BLOCK_TOKENS = 1 << 21
 BLOCK_DOCS = 8192
 STEP_TOKENS = 8 * WINDOW
-#: Distinct chunks whose ids are remembered by a worker; those beyond are encoded each time.
-REMEMBERED = 700_000
-#: Strings that go to the tokenizer at once.
-SLICE = 4096
+#: Windows of documents under this are packed with others of the same tier.
+LEAST_TIER = 128
+#: Bytes that a worker's remembered chunks take at most; those beyond, and chunks over LONG characters, are encoded each time.
+REMEMBERED = 48 << 20
+LONG = 48
+#: Characters that go to the tokenizer at once.
+SLICE = 1 << 18
+#: Places where the tokenizer cuts, whatever stands around them.
+CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
+FINE = re.compile(r"(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SQL_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+def slices(strings: list[str], most: int):
+    """Runs of strings of at most so many characters in all, or one string."""
+    part, held = [], 0
+    for x in strings:
+        if part and held + len(x) > most:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += len(x)
+    if part:
+        yield part
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     A chunk between two single spaces is split into pre-tokens without regard to its neighbours, so its
-    ids are worked out once and remembered.  A text in which a space stands beside other white space
-    is encoded whole.
+    ids are worked out once and remembered.  A text in which a space stands beside other white space is
+    cut before each run of white space instead, which the tokenizer does too.
     """
 
     def __init__(self, path: str | None = None):
@@ -55,31 +81,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, strings: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), SLICE):  # the encoder's own objects are many times as large as the ids
-            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[k : k + SLICE], add_special_tokens=False)]
+        for part in slices(strings, SLICE):  # the encoder's own objects are many times as large as the ids
+            if len(part) == 1 and len(part[0]) > SLICE:
+                out.append(self.long(part[0]))
+            else:
+                out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
+    def long(self, text: str) -> bytes:
+        """One string in parts; a part without any place to cut is encoded whole."""
+        whole = lambda x: array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        out = []
+        for part in slices(CUT.split(text), SLICE):
+            joined = "".join(part)
+            out += [whole("".join(x)) for x in slices(FINE.split(joined), SLICE)] if len(joined) > SLICE else [whole(joined)]
+        return b"".join(out)
+
     def ids(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for part in slices(texts, 4 * SLICE):
+            out += self._ids(part)
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
-        split = [x.split(" ") for x in texts]
+        split = [x.split(" ") if len(x) <= 16 * SLICE else [x] for x in texts]
         new = {x for parts in split for x in parts[1:] if x not in known}
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
         new = list(new - odd)
         now = dict(zip(new, self.encode([f" {x}" for x in new]), strict=True))
-        if len(known) < REMEMBERED:
-            known.update(now)
-            now = {}
+        if self.held < REMEMBERED:
+            short = {k: v for k, v in now.items() if len(k) <= LONG}
+            self.held += sum(4 * len(k) + len(v) + 180 for k, v in short.items())
+            known.update(short)
         heads = self.encode([parts[0] for parts in split])
         for text, parts, head in zip(texts, split, heads, strict=True):
-            if parts[0][-1:].isspace() or not parts[0] or odd and not odd.isdisjoint(parts[1:]):
+            if len(parts) > 1 and (parts[0][-1:].isspace() or not parts[0] or odd and not odd.isdisjoint(parts[1:])):
                 out.append(self.encode([text])[0])
-            elif now:
-                out.append(b"".join([head, *[now.get(x) or known[x] for x in parts[1:]]]))
             else:
-                out.append(b"".join([head, *[known[x] for x in parts[1:]]]))
+                out.append(b"".join([head, *[known.get(x) or now[x] for x in parts[1:]]]))
         return out
 
 
@@ -89,6 +133,11 @@ def encoder_of(path: str | None) -> Encoder:
     return Encoder(path)
 
 
+def tier_of(n: int, window: int = WINDOW) -> int:
+    """The smallest tier that holds so many tokens."""
+    return min(window, max(LEAST_TIER, 1 << (n - 1).bit_length()))
+
+
 def tiers_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Pack documents of these token counts: (tier, [(document, start, length), ...]) of each sequence."""
     out: list[tuple[int, list[tuple[int, int, int]]]] = []
@@ -99,14 +148,10 @@ def tiers_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, list[t
         if n > full:
             rest.append((n - full, d, full))
     rest.sort()
-    tier = window
     while rest:
-        while tier > 1 and rest[-1][0] <= tier // 2:  # no document of this tier is left
-            total = sum(x[0] for x in rest) if len(rest) < 64 else tier
-            if total >= tier:
-                break
-            tier //= 2
-        gap, pieces = tier, []
+        n, d, s = rest.pop()  # the longest left opens a window of its own tier
+        tier = tier_of(n, window)
+        gap, pieces = tier - n, [(d, s, n)]
         while gap and rest:
             at = bisect_right(rest, (gap, 1 << 62, 0))
             if at:  # the longest that fits whole
@@ -118,21 +163,21 @@ def tiers_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, list[t
                 pieces.append((d, s, gap))
                 insort(rest, (n - gap, d, s + gap))
                 gap = 0
-        if gap:  # the last window: cut to shorter full tiers
-            size = tier - gap
-            while pieces:
-                part, want = [], 1 << (size.bit_length() - 1)
-                size -= want
-                while want:
-                    d, s, n = pieces.pop(0)
-                    take = min(n, want)
-                    part.append((d, s, take))
-                    want -= take
-                    if n > take:
-                        pieces.insert(0, (d, s + take, n - take))
-                out.append((sum(x[2] for x in part), part))
-        else:
+        if not gap:
             out.append((tier, pieces))
+            continue
+        size = tier - gap  # the last window: cut to full powers of two
+        while pieces:
+            part, want = [], 1 << (size.bit_length() - 1)
+            size -= want
+            while want:
+                d, s, n = pieces.pop(0)
+                take = min(n, want)
+                part.append((d, s, take))
+                want -= take
+                if n > take:
+                    pieces.insert(0, (d, s + take, n - take))
+            out.append((sum(x[2] for x in part), part))
     return out
 
 
@@ -195,8 +240,7 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, window
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    from keylode.llm.common import table
-
+    small_batches(spark)
     return digest(pack_documents(table(spark, sf_dir, "documents")))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import Scratch, held_out, map_arrow, table
+from keylode.llm.common import Scratch, held_out, map_arrow, small_batches, table
 
 TRAIN_DOCS = 20_000
 WIDTH = 1 << 12
@@ -163,6 +163,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))))
     out = classify(docs, model)

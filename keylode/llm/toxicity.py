@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keylode.llm.common import held_out, map_arrow, table, texts
+from keylode.llm.common import held_out, map_arrow, small_batches, table, texts
 
 TRAIN_TOXIC = 3000
 TRAIN_CLEAN = 6000
@@ -274,6 +274,7 @@ def scorer_terms(scorer: Scorer) -> dict[str, int]:
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scorer = learn(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))))
     out = score_documents(docs, scorer)
