@@ -2,10 +2,11 @@
 
 The lexicon is learnt: whole words and word beginnings (STEM letters) that stand in toxic documents in
 many different contexts and hardly in clean ones.  Counting contexts, not documents, keeps words of a
-single copied text out.  A trie holds the lexicon; a word's Levenshtein automaton (at most one edit,
-words of FUZZY letters or more) walks it and so meets misspelled terms.  Each hit is weighed by its
-window of words: within quotation marks or after a reporting mark it counts as quotation.  A logistic
-model of the hits' evidence (exact, misspelled, quoted, and the share of words hit) gives the score.
+single copied text out.  A trie holds the lexicon; a word's Levenshtein automaton (at most one edit;
+terms of FUZZY letters or more, of one letter less if the word holds a digit or mark) walks it and so
+meets misspelled terms.  Each hit is weighed by its window of words: within quotation marks, or after a
+word of reporting in the same sentence, it counts as quotation.  Words keep inner digits and marks, an
+apostrophe between letters is no quotation mark.  A logistic model of the hits' evidence (exact, misspelled, quoted, and the share of words hit) gives the score.
 
 Learning takes at most about TRAIN_TOXIC toxic and TRAIN_CLEAN clean documents, chosen by a hash of
 doc_id.  Scoring reads whole texts of all documents.
@@ -40,10 +41,13 @@ CLEAN_SHARE = 0.02
 CONTEXTS = 12
 WINDOW = 6
 THRESHOLD = 0.7
-WORDS = re.compile(r"[^\W\d_]+")
-QUOTES = "\"“”„«»‘’"
+WORDS = re.compile(r"[^\W_]+(?:[*@$#]+[^\W_]+)*")
+QUOTES = re.compile(r"[\"“”„«»]|(?<![^\W_])[‘’]|[‘’](?![^\W_])")
+SENTENCE = re.compile(r"[.!?\n]")
+#: After one of these a term is reported, not used.
+REPORTING = frozenset("said says say saying called calls call calling wrote writes write writing quoted quotes quote quoting told tells reported reports reporting word words term terms".split())
 #: Distinct words a task remembers to be no hit; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class Trie:
@@ -66,7 +70,8 @@ class Trie:
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        fuzzy = n >= FUZZY
+        least = FUZZY if word.isalpha() else FUZZY - 1
+        fuzzy = n >= FUZZY - 1
         best = None
         stack = [(self.root, 1, 3 if fuzzy else 0, 0)]
         while stack:
@@ -77,7 +82,7 @@ class Trie:
                     # Beginnings allow an edit only if they are long, and never in their first letter.
                     edits = 0 if zero else 1 if one and depth > FUZZY and word[0] == term[0] else None
                 else:
-                    edits = 0 if zero >> n & 1 else 1 if one >> n & 1 and depth >= FUZZY else None
+                    edits = 0 if zero >> n & 1 else 1 if one >> n & 1 and depth >= least else None
                 if edits == 0:
                     return term, 0
                 if edits is not None:
@@ -108,6 +113,7 @@ class Scorer:
         if new:
             if len(self.seen) > REMEMBERED:
                 self.seen.clear()
+                self.hits.clear()
                 new = words
             for w in new:
                 if len(w) >= 4 and (m := self.trie.match(w)):
@@ -119,10 +125,12 @@ class Scorer:
         spans = [(m.start(), m.end()) for m in WORDS.finditer(low)]
         for i, (a, b) in enumerate(spans):
             if hit := self.hits.get(low[a:b]):
-                before = low[spans[max(0, i - WINDOW)][0] : a]
-                after = low[b : spans[min(len(spans) - 1, i + WINDOW)][1]]
-                opened = sum(before.count(q) for q in QUOTES) % 2 == 1
-                found.append((a, b, *hit, opened and any(q in after for q in QUOTES)))
+                begin, end = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
+                quoted = len(QUOTES.findall(low, begin, a)) % 2 == 1 and QUOTES.search(low, b, end) is not None
+                if not quoted:
+                    begin = max([begin, *(m.end() for m in SENTENCE.finditer(low, begin, a))])
+                    quoted = any(x >= begin and low[x:y] in REPORTING for x, y in spans[max(0, i - WINDOW) : i])
+                found.append((a, b, *hit, quoted))
         return found
 
     def evidence(self, text: str) -> list[float]:
@@ -140,18 +148,28 @@ class Scorer:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
-    """Logistic regression by Newton's method, with a ridge and without negative weights for hits."""
+    """Logistic regression by Newton's method, with a ridge and without negative weights for hits.
+
+    The ridge draws weights to 0, but that of misspelled terms to half that of exact ones: where the
+    rows learnt from hold none, a misspelling still counts, and less than the term itself.
+    """
     x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
+    centre = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * w[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
-        beta += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return [float(b) if i == 0 else max(0.0, float(b)) for i, b in enumerate(beta)]
+
+    def newton() -> np.ndarray:
+        beta = np.zeros(x.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            w = np.maximum(p * (1 - p), 1e-6)
+            step = np.linalg.solve(x.T @ (x * w[:, None]) + penalty, x.T @ (y - p) - penalty @ (beta - centre))
+            beta += step
+            if np.abs(step).max() < 1e-6:
+                break
+        return beta
+
+    centre[2] = max(0.0, float(newton()[1])) / 2
+    return [float(b) if i == 0 else max(0.0, float(b)) for i, b in enumerate(newton())]
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -176,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
                     words = WORDS.findall(text.lower())
                     own = set()
                     for i, w in enumerate(words):
-                        if len(w) < STEM[0]:
+                        if len(w) < STEM[0] or w.isdigit():
                             continue
                         terms = [(w, 1), *[(w[:k], 2) for k in STEM if len(w) > k]]
                         own.update(terms)
@@ -193,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
         return run
 
-    sums = map_arrow(rows.coalesce(32), count, "term string, kind int, toxic long, clean long, contexts array<long>").groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
+    sums = map_arrow(rows, count, "term string, kind int, toxic long, clean long, contexts array<long>").groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
     found = sums.filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * min(TRAIN_TOXIC, totals[1]))) & (F.col("contexts") >= F.greatest(F.lit(LEAST_CONTEXTS), F.least(F.lit(CONTEXTS), (F.col("toxic") * 0.3).cast("int")))) & (F.col("clean") <= F.col("toxic") * CLEAN_SHARE)).collect()
     terms = lexicon({(r["term"], r["kind"]): (r["toxic"], r["contexts"]) for r in found})
     scorer = Scorer(terms, [])
