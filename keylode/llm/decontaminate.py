@@ -53,10 +53,6 @@ def grams_at(hashes: str, length: int, salt: int):
     return lambda at: gram(hashes, at, length, salt)
 
 
-def known_at(hashes: str, length: int, salt: int):
-    return lambda at: F.array_contains(F.col("fps"), gram(hashes, at, length, salt))
-
-
 def hashed(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, n words, and the words' hashes."""
     split = rows.select(*keys, F.split(F.coalesce("text", F.lit("")), GAP).alias("parts"))
@@ -109,19 +105,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keyed: bool = False)
     joined = fingerprints(counted, "doc_id", "th", short=short).join(bounded(marks), "fp")
     found = scratch.write(joined.groupBy("doc_id", "th").agg(F.collect_set("fp").alias("fps")))
 
-    # Pass 2: windows around them, in those documents alone.
+    # Pass 2: windows around them, in those documents alone.  A document's hashes are joined by place, so
+    # that work stays in proportion to its words however many of them are hit.
     key = lambda df: df.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 62)))).drop("doc_id")
-    near = key(own).join(bounded(key(found)), ["id", "th"])
+    marked = scratch.write(key(found).select("id", "th", F.explode("fps").alias("fp")))
+    near = key(own).join(bounded(scratch.write(marked.select("id", "th").distinct())), ["id", "th"])
     # Written, so that no filter below can take the words' hashes apart again for each word.
-    near = scratch.write(hashed(near, "id", "th", "fps"))
+    near = scratch.write(hashed(near, "id", "th"))
     starts = []
-    at = near.select("id", "th", "fps", "n", "h", F.filter(span(F.col("n"), K), lambda i: F.array_contains(F.col("fps"), gram("h", i, K))).alias("places"))
+    places = near.select("id", "th", F.posexplode(F.transform(span(F.col("n"), K), grams_at("h", K, 0))).alias("p", "fp")).join(bounded(marked), ["id", "th", "fp"], "left_semi")
+    places = scratch.write(places.groupBy("id", "th").agg(F.collect_set("p").alias("places")))
+    at = near.join(places, ["id", "th"])
     around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - (WINDOW - K), F.lit(0)), p))))
     inside = at.select("id", "th", "n", "h", F.explode(around).alias("start")).filter(F.col("start") + WINDOW <= F.col("n"))
     starts.append(inside.select("id", "th", "start", F.lit(WINDOW).alias("length"), gram("h", F.col("start"), WINDOW, 2).alias("a"), gram("h", F.col("start"), WINDOW, 3).alias("b")))
     for s in short:
-        places = near.select("id", "th", "h", F.explode(F.filter(span(F.col("n"), s), known_at("h", s, 1))).alias("start"))
-        starts.append(places.select("id", "th", "start", F.lit(s).alias("length"), gram("h", F.col("start"), s, 2).alias("a"), gram("h", F.col("start"), s, 3).alias("b")))
+        here = near.select("id", "th", F.posexplode(F.transform(span(F.col("n"), s), grams_at("h", s, 1))).alias("start", "fp")).join(bounded(marked), ["id", "th", "fp"], "left_semi")
+        here = here.groupBy("id", "th").agg(F.collect_set("start").alias("places"))
+        here = near.join(here, ["id", "th"]).select("id", "th", "h", F.explode("places").alias("start"))
+        starts.append(here.select("id", "th", "start", F.lit(s).alias("length"), gram("h", F.col("start"), s, 2).alias("a"), gram("h", F.col("start"), s, 3).alias("b")))
     hits = scratch.write(reduce(DataFrame.unionByName, starts).join(bounded(distinct_windows), ["a", "b", "length"]))
 
     # Words inside any hit: starts of a document in order, each adding what the last did not cover.
