@@ -229,7 +229,7 @@ def learn(docs: DataFrame, *, bound: int = TRAIN_DOCS) -> Model:
 
         return run
 
-    sums = map_arrow(own.select("text", "lang").coalesce(64), make, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = map_arrow(own.select("text", "lang"), make, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), BUCKETS + len(NAMES)))
     counts[sums["lang"], sums["bucket"]] = sums["n"]
     return Model(langs, counts[:, :BUCKETS], counts[:, BUCKETS:])
