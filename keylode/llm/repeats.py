@@ -36,6 +36,8 @@ from keylode.llm.common import Scratch, map_arrow, partitions, small_batches, ta
 from keylode.llm.suffix import suffix_array
 
 LENGTH = 400
+#: Passages of over so many words are told of too.
+PASSAGE_WORDS = 50
 K = 16
 WORD_K = 4
 PIECE = 16
@@ -448,27 +450,36 @@ def removed(docs: DataFrame, *extra, strings: Strings | int = LENGTH) -> DataFra
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of repeated strings of LENGTH bytes, then what of the text lies in repeated
+    passages of over PASSAGE_WORDS words: n_passages and passage_words.
+
+    Many such passages are shorter than LENGTH bytes, so that nothing of them is removed here.
+    """
     small_batches(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    docs = table(spark, sf_dir, "documents")
+    passages = repeated_spans(docs, Strings(PASSAGE_WORDS + 1, words=True)).withColumnRenamed("spans", "passages")
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).join(repeated_spans(docs), ["id", "th"], "left").join(passages, ["id", "th"], "left").select("doc_id", "text", "spans", "passages")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("passage_words", pa.int64())])
 
     def make():
         def run(batches):
             for batch in batches:
                 columns = tuple([] for _ in schema)
-                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for doc_id, text, spans, passages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     text, kept, at = (text or "").encode(), hashlib.sha256(), 0
                     view = memoryview(text)
                     for x in spans or []:
                         kept.update(view[at : x["start"]])
                         at = x["end"]
                     kept.update(view[at:])
-                    for column, v in zip(columns, (doc_id, len(text), sum(x["end"] - x["start"] for x in spans or []), len(spans or []), kept.hexdigest()), strict=True):
+                    lengths = [[x["end"] - x["start"] for x in found or []] for found in (spans, passages)]
+                    for column, v in zip(columns, (doc_id, len(text), sum(lengths[0]), len(lengths[0]), kept.hexdigest(), len(lengths[1]), sum(lengths[1])), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, columns, strict=True)], schema=schema)
 
         return run
 
-    return map_arrow(removed(table(spark, sf_dir, "documents")), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(rows, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long")
 
 
 def without_repeats(docs: DataFrame, words: int | None = None) -> DataFrame:
