@@ -11,6 +11,7 @@ import math
 import struct
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,40 @@ def sizing(expected: int, fpp: float = BLOOM_FPP) -> tuple[int, int]:
     return bits, max(1, math.ceil(bits / n * math.log(2)))
 
 
+def murmur3_32_of(data: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """murmur3_32 of the rows of a byte matrix, each with its own seed."""
+    u = np.uint32
+    turn = lambda x, r: x << u(r) | x >> u(32 - r)
+    n, length = data.shape
+    h, whole = seed.astype(u), length // 4
+    words = np.ascontiguousarray(data[:, : 4 * whole]).view("<u4") if whole else np.zeros((n, 0), u)
+    for i in range(whole):
+        h = turn(h ^ turn(words[:, i] * u(C1), 15) * u(C2), 13) * u(5) + u(0xE6546B64)
+    if length % 4:
+        k = np.zeros(n, u)
+        for i in range(length % 4):
+            k |= data[:, 4 * whole + i].astype(u) << u(8 * i)
+        h = h ^ turn(k * u(C1), 15) * u(C2)
+    h = h ^ u(length)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return h ^ h >> u(16)
+
+
+def positions_of(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
+    """A row of positions for each key; keys of one length are worked on together."""
+    out = np.zeros((len(keys), hashes), np.int64)
+    by_length: dict[int, list[int]] = {}
+    for i, k in enumerate(keys):
+        by_length.setdefault(len(k), []).append(i)
+    for length, at in by_length.items():
+        data = np.frombuffer(b"".join(keys[i] for i in at), np.uint8).reshape(len(at), length)
+        a = murmur3_32_of(data, np.full(len(at), SEED, np.uint32))
+        b = murmur3_32_of(data, a)
+        out[at] = (a[:, None] + np.arange(hashes, dtype=np.uint32) * b[:, None]).astype(np.int64) % bits
+    return out
+
+
 def positions(key: bytes, bits: int, hashes: int) -> list[int]:
     a = murmur3_32(key, SEED)
     b = murmur3_32(key, a)
@@ -96,7 +131,7 @@ class Bloom:
 def _positions(bits: int, hashes: int):
     @F.pandas_udf("array<long>")
     def of(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: positions(bytes(k), bits, hashes))
+        return pd.Series(list(positions_of([bytes(k) for k in keys], bits, hashes)), index=keys.index)
 
     return of
 
@@ -117,11 +152,27 @@ def build(keys: DataFrame, expected: int, fpp: float = BLOOM_FPP) -> Bloom:
     return Bloom(bits, hashes, data)
 
 
+def probe(keys: DataFrame, filled: DataFrame, expected: int, fpp: float = BLOOM_FPP) -> DataFrame:
+    """key, maybe for each distinct key: held against filled (filter_bits' rows) by a join, for filters too large to send."""
+    bits, hashes = sizing(expected, fpp)
+    at = keys.select("key").distinct().select("key", F.explode(F.array_distinct(_positions(bits, hashes)(F.col("key").cast("binary")))).alias("position"))
+    found = at.join(filled.withColumn("set", F.lit(True)), "position", "left")
+    return found.groupBy("key").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("maybe"))
+
+
+#: A filter that goes to every task has at most so many bytes.
+SENT_BYTES = 64 << 20
+
+
 def might_contain(bloom: Bloom):
-    """A column function of binary keys: False only for keys that were never added."""
+    """A column function of binary keys: False only for keys that were never added.  Larger filters are for ``probe``."""
+    if bloom.serialized_size() > SENT_BYTES:
+        raise ValueError(f"a filter of {bloom.serialized_size()} bytes is not sent to every task; use probe")
 
     @F.pandas_udf("boolean")
     def check(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: bytes(k) in bloom)
+        at = positions_of([bytes(k) for k in keys], bloom.bits, bloom.hashes)
+        held = np.frombuffer(bloom.data, np.uint8)
+        return pd.Series(((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1), index=keys.index)
 
     return check

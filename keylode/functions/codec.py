@@ -58,6 +58,30 @@ def encode_one(key: bytes, value: bytes | None, tombstone: bool = False) -> byte
     return struct.pack(">I", zlib.crc32(b)) + b
 
 
+def stream(read, *, strict: bool = True, size: int = 1 << 20) -> Iterator[tuple[int, bytes, bytes | None, bool]]:
+    """records of a file that read(n) gives piece by piece: one piece and one record are held at a time."""
+    held, base = b"", 0
+    while True:
+        more = read(size)
+        held += more
+        at = 0
+        while at + HEADER_BYTES <= len(held):
+            crc, k, v, t = struct.unpack_from(">IIIB", held, at)
+            end = at + HEADER_BYTES + k + v
+            if end > len(held):
+                break
+            if zlib.crc32(memoryview(held)[at + 4 : end]) != crc:
+                if strict:
+                    raise CorruptRecord(f"checksum mismatch at byte {base + at}")
+                return
+            key = held[at + HEADER_BYTES : at + HEADER_BYTES + k]
+            yield base + at, key, None if t == 1 else held[at + HEADER_BYTES + k : end], t == 1
+            at = end
+        held, base = held[at:], base + at
+        if not more:
+            return  # what is left is a torn record
+
+
 def records(data: bytes, *, strict: bool = True) -> Iterator[tuple[int, bytes, bytes | None, bool]]:
     """(offset, key, value, tombstone) of a file's records.
 

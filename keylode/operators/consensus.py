@@ -44,8 +44,38 @@ def log_conflict(own: DataFrame, sent: DataFrame) -> DataFrame:
     return own.select("node").distinct().join(first, "node", "left")
 
 
+def append_answers(own: DataFrame, nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(node, term, prev_index, prev_term, leader_commit), one a node, with ok and the node's new term.
+
+    Refused: a term older than the node's, and an entry before the sent ones that the node does not hold
+    with that term, which is also so for every gap.  Place 0 with term 0 is before the first entry.
+    nodes(node, current_term, commit_index), own(node, log_index, term).
+    """
+    held = own.select("node", F.col("log_index").alias("prev_index"), F.col("term").alias("prev_term"), F.lit(True).alias("holds"))
+    start = (F.col("prev_index") == 0) & (F.col("prev_term") == 0)
+    both = requests.join(nodes, "node").join(held, ["node", "prev_index", "prev_term"], "left")
+    ok = (F.col("term") >= F.col("current_term")) & (start | F.coalesce("holds", F.lit(False)))
+    return both.select("node", F.greatest("term", "current_term").alias("term"), ok.alias("ok"), "prev_index", "leader_commit", "commit_index")
+
+
+def append_entries(own: DataFrame, nodes: DataFrame, requests: DataFrame, sent: DataFrame) -> DataFrame:
+    """The logs after each node's request: node, log_index, term; sent(node, log_index, term) from prev_index + 1 on."""
+    answers = append_answers(own, nodes, requests)
+    accepted = answers.filter("ok").select("node")
+    return appended(own, sent.join(accepted, "node", "left_semi"))
+
+
+def append_replies(own: DataFrame, nodes: DataFrame, requests: DataFrame, sent: DataFrame) -> DataFrame:
+    """node, term, success, commit_index, last_index: a commit moves to the leader's, or the own log's end if that is less."""
+    answers = append_answers(own, nodes, requests)
+    ends = append_entries(own, nodes, requests, sent).groupBy("node").agg(F.max("log_index").alias("last_index"))
+    both = answers.join(ends, "node", "left").withColumn("last_index", F.coalesce("last_index", F.lit(0)))
+    moved = F.when(F.col("ok"), F.greatest("commit_index", F.least("leader_commit", "last_index"))).otherwise(F.col("commit_index"))
+    return both.select("node", "term", F.col("ok").alias("success"), moved.cast("long").alias("commit_index"), F.col("last_index").cast("long").alias("last_index"))
+
+
 def appended(own: DataFrame, sent: DataFrame) -> DataFrame:
-    """The log after a leader's entries: own entries up to the conflict, then the leader's; node, log_index, term."""
+    """The log after a leader's entries that the previous-entry test has let through: own entries up to the conflict, then the leader's; node, log_index, term."""
     cut = log_conflict(own, sent)
     kept = own.join(cut, "node").filter(F.col("conflict_index").isNull() | (F.col("log_index") < F.col("conflict_index"))).select("node", "log_index", "term")
     new = sent.select("node", "log_index", "term").join(kept.select("node", "log_index"), ["node", "log_index"], "left_anti")

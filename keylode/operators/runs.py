@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from keylode.operators.order import numbered
+from keylode.operators.order import numbered, ranged, totals
 from keylode.operators.state import byte_length, lww
 from keylode.schema import BLOOM_FPP, FLUSH_BYTES, HEADER_BYTES, RUN_TRIGGER, SEGMENT_BYTES, SPARSE_INTERVAL
 
@@ -28,45 +28,41 @@ def run_of(log: DataFrame, run_id: int, level: int = 0) -> DataFrame:
     return lww(log).select(F.lit(run_id).cast("long").alias("run_id"), F.lit(level).cast("int").alias("level"), "key", "value", "tombstone", "seq")
 
 
-def flush_runs(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
-    """The runs that flushing at a byte threshold makes: run_id, key, value, tombstone, seq.
+def run_numbers(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
+    """seq, run_id: the run that each operation is flushed with.
 
-    The size of the current state decides, and overwrites change it, so the fold is sequential: it
-    streams the log in order through one task and holds at most one state of the threshold's size.
+    The size of the current state decides, and overwrites change it, so this fold is sequential.  Only
+    seq, a hash of the key and two lengths of each operation pass through its one task, which holds the
+    hashes and lengths of one state of the threshold's size.
     """
-    kind = {f.name: f.dataType.simpleString() for f in log.schema}
+    slim = log.select("seq", F.xxhash64("key").alias("h"), F.octet_length("key").cast("long").alias("k"), F.when(F.col("tombstone"), 0).otherwise(byte_length(F.col("value"))).cast("long").alias("v"))
 
     def fold(batches):
         import pyarrow as pa
 
-        state, size, run = {}, 0, 0
-        columns = ("run_id", "key", "value", "tombstone", "seq")
-
-        def out(schema):
-            rows = [(run, k, v[0], v[1], v[2]) for k, v in sorted(state.items())]
-            types = {"run_id": pa.int64(), "key": schema.field("key").type, "value": schema.field("value").type, "tombstone": pa.bool_(), "seq": pa.int64()}
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[c]) for i, c in enumerate(columns)], names=list(columns))
-
-        schema = None
-        size_of = lambda x: len(x.encode() if isinstance(x, str) else x)
+        held, size, run = {}, 0, 0
         for batch in batches:
-            schema = batch.schema
-            for seq, key, value, tombstone in zip(*(batch.column(schema.get_field_index(c)).to_pylist() for c in ("seq", "key", "value", "tombstone")), strict=True):
-                value = None if tombstone else value
-                if key in state:
-                    size -= size_of(state[key][0] or b"")
-                else:
-                    size += size_of(key)
-                size += size_of(value or b"")
-                state[key] = (value, tombstone, seq)
+            numbers = []
+            for h, k, v in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                old = held.get(h)
+                size += v + k if old is None else v - old
+                held[h] = v
+                numbers.append(run)
                 if size >= threshold:
-                    yield out(schema)
-                    state, size, run = {}, 0, run + 1
-        if state:
-            yield out(schema)
+                    held, size, run = {}, 0, run + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], names=["seq", "run_id"])
 
-    ordered = log.select("seq", "key", "value", "tombstone").coalesce(1).sortWithinPartitions("seq")
-    return ordered.mapInArrow(fold, f"run_id long, key {kind['key']}, value {kind['value']}, tombstone boolean, seq long")
+    return slim.coalesce(1).sortWithinPartitions("seq").mapInArrow(fold, "seq long, run_id long")
+
+
+def flush_runs(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
+    """The runs that flushing at a byte threshold makes: run_id, key, value, tombstone, seq.
+
+    seq is unique in the log.  Runs are numbered in order (``run_numbers``) and then folded in parallel.
+    """
+    placed = log.select("seq", "key", "value", "tombstone").join(run_numbers(log, threshold), "seq")
+    newest = placed.groupBy("run_id", "key").agg(F.max_by(F.struct("value", "tombstone", "seq"), "seq").alias("op"))
+    return newest.select("run_id", "key", F.when(~F.col("op.tombstone"), F.col("op.value")).alias("value"), F.col("op.tombstone").alias("tombstone"), F.col("op.seq").alias("seq"))
 
 
 def write_run(run: DataFrame, path: str, *, expected: int | None = None, fpp: float = BLOOM_FPP, files: int | None = None) -> None:
@@ -95,12 +91,10 @@ def sparse_index(state: DataFrame, interval: int = SPARSE_INTERVAL) -> DataFrame
     Offsets are those of records in key order; the last entry's end is the end of the data.
     """
     sized = state.select("key", (F.lit(HEADER_BYTES) + byte_length(F.col("key")) + byte_length(F.col("value"))).cast("long").alias("bytes"))
-    placed = numbered(numbered(sized, "key", "number"), "key", "ends", amount=F.col("bytes"))
-    entries = placed.filter((F.col("number") - 1) % interval == 0).select("key", (F.col("number") - 1).alias("number"), (F.col("ends") - F.col("bytes")).alias("offset"))
-    total = sized.agg(F.sum("bytes").alias("total"))
-    # A block ends where the next one starts: the next entry's number is known, so this needs no global sort.
-    after = entries.select((F.col("number") - interval).alias("number"), F.col("offset").alias("next"))
-    return entries.join(after, "number", "left").crossJoin(F.broadcast(total)).select("key", "number", "offset", F.coalesce("next", "total").alias("block_end"))
+    placed = totals(sized, "key", {"number": F.lit(1).cast("long"), "ends": F.col("bytes")})
+    # A block ends where the next one starts, which is where its own last record ends.
+    blocks = placed.groupBy(F.expr(f"(number - 1) div {interval}").alias("block"))
+    return blocks.agg(F.min("key").alias("key"), (F.min("number") - 1).alias("number"), F.min(F.col("ends") - F.col("bytes")).alias("offset"), F.max("ends").alias("block_end")).drop("block")
 
 
 def floor_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
@@ -109,8 +103,6 @@ def floor_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     An as-of join as a window over ranges of keys would sort all in one task, so probes and entries
     meet in ranges whose borders are entries; the last entry of earlier ranges is carried in.
     """
-    from keylode.operators.order import ranged
-
     both = probes.select("key", F.lit(True).alias("probe")).distinct().unionByName(index.select("key", F.lit(False).alias("probe")).distinct())
     split = ranged(both, "key")
     last = split.filter(~F.col("probe")).groupBy("range").agg(F.max("key").alias("top"))
@@ -123,8 +115,7 @@ def floor_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 def block_range(state: DataFrame, index: DataFrame, key) -> DataFrame:
     """The rows of the block that may hold a key: from its floor entry to the next entry."""
-    low = index.filter(F.col("key") <= F.lit(key)).agg(F.max("key")).first()[0]
-    high = index.filter(F.col("key") > F.lit(key)).agg(F.min("key")).first()[0]
+    low, high = index.agg(F.max(F.when(F.col("key") <= F.lit(key), F.col("key"))), F.min(F.when(F.col("key") > F.lit(key), F.col("key")))).first()
     if low is None:
         return state.filter(F.lit(False))
     out = state.filter(F.col("key") >= F.lit(low))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from keylode.operators.order import numbered
 
 def byte_length(value: Column) -> Column:
     return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
@@ -97,6 +98,25 @@ def write_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.count("*").alias("writes"), F.count_if("tombstone").alias("deletes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def submit(requests: DataFrame, *, last_index: int = 0, term: int = 1, leader: int = 0, is_leader: bool = True) -> DataFrame:
+    """Replies to puts and deletes (req_id, op, key, value) in the order of req_id: ok, index, term, leader.
+
+    A leader gives each the next index after last_index; another node takes none, answers index -1 and
+    names the leader.  Empty keys and other operations have no reply.
+    """
+    asked = requests.filter(F.col("op").isin("put", "delete") & (F.octet_length("key") > 0)).select("req_id", "op", "key", "value")
+    if not is_leader:
+        return asked.select("req_id", "op", "key", "value", F.lit(False).alias("ok"), F.lit(-1).cast("long").alias("index"), F.lit(term).cast("long").alias("term"), F.lit(leader).alias("leader"))
+    placed = numbered(asked, "req_id", "index")
+    return placed.select("req_id", "op", "key", "value", F.lit(True).alias("ok"), (F.col("index") + last_index).alias("index"), F.lit(term).cast("long").alias("term"), F.lit(leader).alias("leader"))
+
+
+def submitted(replies: DataFrame) -> DataFrame:
+    """The log rows of accepted puts and deletes; seq is the index."""
+    gone = F.col("op") == "delete"
+    return replies.filter("ok").select(F.col("index").alias("seq"), "key", F.when(~gone, F.col("value")).alias("value"), gone.alias("tombstone"))
+
+
 def serve(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Replies to a batch of requests (req_id, op, key, value), as if run in the order of req_id.
 
@@ -104,7 +124,9 @@ def serve(requests: DataFrame, state: DataFrame) -> DataFrame:
     other than put, get and delete have no reply, as have empty keys.
     """
     asked = requests.filter(F.col("op").isin("put", "get", "delete") & (F.octet_length("key") > 0))
-    old = state.select("key", F.lit(-1).cast("long").alias("req_id"), F.lit("old").alias("op"), "value", "tombstone")
+    # Only asked keys leave the state: a batch costs its own size, and what the state's scan prunes.
+    held = state.join(asked.select("key").distinct(), "key", "left_semi")
+    old = held.select("key", F.lit(-1).cast("long").alias("req_id"), F.lit("old").alias("op"), "value", "tombstone")
     new = asked.select("key", "req_id", "op", "value", (F.col("op") == "delete").alias("tombstone"))
     every = new.unionByName(old)
     before = Window.partitionBy("key").orderBy("req_id").rowsBetween(Window.unboundedPreceding, -1)

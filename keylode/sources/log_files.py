@@ -1,7 +1,7 @@
 """Log files of checksummed records: a batch source (format ``keylode_log``) and an append sink.
 
-A file is read by one task, through Hadoop's file system where a path has a scheme, so any store that
-Spark reads will do.  Files are ordered by name with numbers compared as numbers; a record's seq is its
+A file is read by one task, piece by piece, through pyarrow's file systems; ``scan_records`` takes whole
+files from any store that Spark reads.  ``write_log`` writes such files.  Files are ordered by name with numbers compared as numbers; a record's seq is its
 file's rank and its offset.  A torn record ends its file; a wrong checksum fails the read, or, with
 ``mode`` = ``permissive``, ends its file.  A missing folder holds no rows.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from keylode.functions.codec import encode, records
+from keylode.functions.codec import encode, records, stream
 from keylode.schema import OP_LOG
 
 SUFFIX = ".wal"
@@ -51,15 +51,14 @@ class LogReader(DataSourceReader):
         if partition.rank < 0:
             return
         store, _ = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), "")
-        with store.open_input_stream(partition.path) as f:
-            data = f.read()
         rows = ([], [], [], [])
-        for at, key, value, tombstone in records(data, strict=self.strict):
-            for column, v in zip(rows, ((partition.rank << OFFSET_BITS) + at, key, value, tombstone), strict=True):
-                column.append(v)
-            if len(rows[0]) >= 10_000:
-                yield self.batch(rows)
-                rows = ([], [], [], [])
+        with store.open_input_stream(partition.path) as f:
+            for at, key, value, tombstone in stream(f.read, strict=self.strict):
+                for column, v in zip(rows, ((partition.rank << OFFSET_BITS) + at, key, value, tombstone), strict=True):
+                    column.append(v)
+                if len(rows[0]) >= 10_000:
+                    yield self.batch(rows)
+                    rows = ([], [], [], [])
         yield self.batch(rows)
 
     @staticmethod
@@ -102,6 +101,52 @@ def scan_records(spark: SparkSession, path: str, *, strict: bool = True) -> Data
     return files.select("path", "content").mapInArrow(parse, "seq long, key binary, value binary, tombstone boolean")
 
 
+def write_log(log: DataFrame, path: str, *, records_a_file: int = 1_000_000) -> int:
+    """Write a log as files of records that read_log reads, in the order of seq; returns how many files.
+
+    Files are cut by ranges of seq and written by tasks, each under a name of its own first; a task that
+    runs again writes the same file again, so the last rename wins.  The folder must be new.
+    """
+    files = max(1, -(-log.count() // records_a_file))
+    coded = with_records(log.select("seq", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "tombstone"))
+    dealt = coded.repartitionByRange(files, "seq").sortWithinPartitions("seq").select("record")
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(folder, recursive=True)
+        name, n = f"part_{TaskContext.get().partitionId():06d}{SUFFIX}", 0
+        held = f"{folder}/{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(held) as f:
+            for batch in batches:
+                for record in batch.column(0).to_pylist():
+                    f.write(record)
+                    n += 1
+        store.move(held, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
+
+    return len(dealt.mapInArrow(write, "name string, n long").collect())
+
+
+def parse_files(files: DataFrame, *, strict: bool = True) -> DataFrame:
+    """files(rank, content): the records of whole files, wherever their bytes come from; seq as in read_log."""
+
+    def parse(batches):
+        for batch in batches:
+            rows = ([], [], [], [])
+            for rank, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for at, key, value, tombstone in records(data, strict=strict):
+                    for column, v in zip(rows, ((rank << OFFSET_BITS) + at, key, value, tombstone), strict=True):
+                        column.append(v)
+            yield LogReader.batch(rows)
+
+    return files.select(F.col("rank").cast("long"), "content").mapInArrow(parse, "seq long, key binary, value binary, tombstone boolean")
+
+
 def with_records(log: DataFrame) -> DataFrame:
     """The log with each row's encoded record."""
     return log.withColumn("record", encode(F.col("key"), F.col("value"), F.col("tombstone")))

@@ -52,10 +52,11 @@ def test_unsigned_key_order(spark):
 
 
 def test_sizes_and_threshold(spark):
-    log = log_of(spark, [(b"key1_10bytes", bytes(50), False)])
-    assert state.is_full(state.lww(log), 100).first() == (62, False)
-    log = log_of(spark, [(b"key1_10bytes", bytes(50), False), (b"key2_10bytes", bytes(40), False)])
-    assert state.is_full(state.lww(log), 100).first() == (114, True)
+    log = log_of(spark, [(b"alpha_row", b"x" * 44, False)])
+    assert state.is_full(state.lww(log), 100).first() == (53, False)
+    log = log_of(spark, [(b"alpha_row", b"x" * 44, False), (b"beta_row", b"y" * 39, False)])
+    assert state.is_full(state.lww(log), 100).first() == (100, True)
+    assert state.is_full(state.lww(log), 101).first() == (100, False)
 
 
 def test_key_predicate_reaches_the_scan(spark, sf_dir):
@@ -85,13 +86,13 @@ def test_codec_files(rows, data):
 
 
 def test_codec_in_the_engine(spark):
-    log = log_of(spark, [(b"knight", b"vessel", False), (b"zote", None, True), (b"", b"", False)])
+    log = log_of(spark, [(b"tulip", b"red", False), (b"fern", None, True), (b"", b"", False)])
     coded = log.withColumn("record", codec.encode(log["key"], log["value"], log["tombstone"]))
     for r in coded.collect():
         assert bytes(r["record"]) == codec.encode_one(bytes(r["key"]), None if r["value"] is None else bytes(r["value"]), r["tombstone"])
         assert int.from_bytes(r["record"][:4], "big") == zlib.crc32(bytes(r["record"][4:]))
     back = codec.decode(coded.select("seq", "record"))
-    assert [(bytes(r["key"]), r["value"] if r["value"] is None else bytes(r["value"]), r["tombstone"], r["valid"]) for r in back.orderBy("seq").collect()] == [(b"knight", b"vessel", False, True), (b"zote", None, True, True), (b"", b"", False, True)]
+    assert [(bytes(r["key"]), r["value"] if r["value"] is None else bytes(r["value"]), r["tombstone"], r["valid"]) for r in back.orderBy("seq").collect()] == [(b"tulip", b"red", False, True), (b"fern", None, True, True), (b"", b"", False, True)]
 
 
 def test_log_source(spark, tmp_path):
@@ -126,15 +127,15 @@ def test_numbering_over_ranges(spark):
 
 
 def test_sparse_index_and_floor(spark):
-    log = spark.createDataFrame([(i, f"geo_{i:03d}", "v", False) for i in range(50)], "seq long, key string, value string, tombstone boolean")
+    log = spark.createDataFrame([(i, f"key/{i:03d}", "v", False) for i in range(50)], "seq long, key string, value string, tombstone boolean")
     index = runs.sparse_index(state.lww(log), 8)
     rows = index.orderBy("key").collect()
     assert [r["number"] for r in rows] == list(range(0, 50, 8))
     assert rows[0]["offset"] == 0 and all(a["block_end"] == b["offset"] for a, b in zip(rows, rows[1:], strict=False))
-    probes = spark.createDataFrame([("a",), ("geo_000",), ("geo_007",), ("geo_009x",), ("zzz",)], "key string")
+    probes = spark.createDataFrame([("a",), ("key/000",), ("key/007",), ("key/009x",), ("zzz",)], "key string")
     got = {r["key"]: r["index_key"] for r in runs.floor_lookup(index, probes).collect()}
-    assert got == {"a": None, "geo_000": "geo_000", "geo_007": "geo_000", "geo_009x": "geo_008", "zzz": "geo_048"}
-    assert runs.block_range(state.lww(log), index, "geo_009x").count() == 8
+    assert got == {"a": None, "key/000": "key/000", "key/007": "key/000", "key/009x": "key/008", "zzz": "key/048"}
+    assert runs.block_range(state.lww(log), index, "key/009x").count() == 8
     assert runs.block_range(state.lww(log), index, "a").count() == 0
 
 
