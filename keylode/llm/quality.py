@@ -1,14 +1,17 @@
 """Quality classifier: hierarchical empirical Bayes over document, site and path.
 
 A document classifier (logistic, over hashed words and shape features) gives evidence in log odds.
-Sites form a tree: all documents, host (source), and path (a bucket of the source's ids, or of pages'
-URL paths).  The mean and spread of evidence of every node come from grouped sums; each node's posterior
-shrinks to its parent's by n / (n + strength), with the strength estimated from the spread between
-sites against that within them, so sparse sites stay near the global prior.  A document's posterior
-adds its path's shift to its own evidence.
-
-The classifier learns from at most about TRAIN_DOCS labelled rows chosen by a hash of doc_id; sums over
-sites cover all documents.
+Sites form a tree: all documents, host, path.  ``sites`` takes both from the document's source: the host
+is its part before the first slash, the path all of it (``path`` gives another column instead, such as
+that of a URL).  A source without a slash is a host of one path.  Labelled rows are counted by host and
+path in grouped sums.  A host's rate of good rows shrinks to the global rate by n / (n + strength), a
+path's to its host's; each strength comes from the spread between sites beyond what chance makes
+(method of moments of the beta-binomial), so sparse sites stay near their parent, and all do where sites
+say nothing.  A document's own label is left out of its site's counts.  The score adds to the document's
+evidence what its path's log odds differ from the global ones.
+
+The classifier learns from at most about TRAIN_DOCS labelled rows chosen by a hash of doc_id; counts of
+sites cover all labelled rows they are given.
 
 Defined results: a null or empty text has the evidence of one without words; a null source is a host
 of its own; with one class or none to learn from the score is the labels' share (0.5 without labels);
@@ -21,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keylode.llm.common import Scratch, held_out, map_arrow, small_batches, table
@@ -29,8 +32,8 @@ from keylode.llm.common import Scratch, held_out, map_arrow, small_batches, tabl
 TRAIN_DOCS = 20_000
 WIDTH = 1 << 12
 SHAPES = 12
-#: Paths of a host: ids in ranges of so many.
-PATH_IDS = 1 << 12
+#: So many sites' counts, once counted, are sent everywhere; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shape(text: str) -> list[float]:
@@ -96,8 +99,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, epochs: int
     return beta
 
 
+def marks_of(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one row a document; of several labels the greatest."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, bound: int = TRAIN_DOCS) -> Model:
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = marks_of(labels)
     n, good = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     prior = (good + 1) / (n + 2)
     if not 0 < good < n:
@@ -120,9 +128,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, bound: int = TRAIN_DOCS) -> Mod
     return Model(fit(examples, seen["y"].to_numpy().astype(float)), prior)
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
+def sites(docs: DataFrame, path: Column | None = None) -> DataFrame:
+    """doc_id, text, host, path; without a source both are empty."""
+    own = F.coalesce((F.col("source") if path is None else path).cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.substring_index(own, "/", 1).alias("host"), own.alias("path"))
+
+
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
     """doc_id, host, path, x (log odds from the text alone)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.int64()), ("x", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.float64())])
 
     def make():
         def run(batches):
@@ -132,39 +146,56 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    own = F.col("doc_id").cast("long")
-    rows = docs.select(own.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.floor(own / PATH_IDS), F.lit(-1)).cast("long").alias("path"))
-    return map_arrow(rows, make, "doc_id long, host string, path long, x double")
+    return map_arrow(rows, make, "doc_id long, host string, path string, x double")
+
+
+def strength(rate: float, spread: float, groups: int, parents: int, n: float, squares: float) -> float:
+    """How many rows a parent's rate weighs: spread is the sum of n * (own rate - parent's rate) ** 2."""
+    chance = rate * (1 - rate)
+    between = (spread - (groups - parents) * chance) / max(1e-9, n - squares / max(1.0, n))
+    return chance / between if between > chance / MOST else MOST
+
+
+#: A parent never weighs more rows than this; so much it does where sites differ by chance alone.
+MOST = 1e6
+
+
+def counts_of(rows: DataFrame, marks: DataFrame, scratch: Scratch) -> tuple[DataFrame, float, float, float]:
+    """host, path, n, g (good), hn, hg of each labelled site; the global rate, and the strengths of it and of hosts."""
+    by_path = scratch.write(rows.select("doc_id", "host", "path").join(marks, "doc_id").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("g")))
+    by_host = scratch.write(by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("g").alias("hg")))
+    counts = scratch.write(by_path.join(by_host, "host"))
+    n, g, k, squares = by_host.agg(F.coalesce(F.sum("hn"), F.lit(0)), F.coalesce(F.sum("hg"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("hn") * F.col("hn")), F.lit(0))).first()
+    rate = (g + 1) / (n + 2)
+    off = F.col("hg") / F.col("hn") - F.lit(rate)
+    spread = by_host.agg(F.coalesce(F.sum(F.col("hn") * off * off), F.lit(0.0))).first()[0]
+    off = F.col("g") / F.col("n") - F.col("hg") / F.col("hn")
+    p = counts.agg(F.coalesce(F.sum(F.col("n") * off * off), F.lit(0.0)), F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+    return counts, rate, strength(rate, spread, k, 1, n, squares), strength(rate, p[0], p[1], k, n, p[2])
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), and the posterior means of its host and path (log odds)."""
+def classify(docs: DataFrame, model: Model, labels: DataFrame | None = None, *, path: Column | None = None) -> DataFrame:
+    """doc_id, score (0 to 1), and the posterior rates of its host and path; without labels sites say nothing."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(evidence(docs, model))
-    sums = scratch.write(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")))
-    hosts = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"))
-    r = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum("hq").alias("q"), F.count("*").alias("k"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("between")).first()
-    p = sums.agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")).first()
-    n, mean = r["n"] or 0, (r["s"] or 0.0) / max(1, r["n"] or 0)
-    within = max(1e-9, ((r["q"] or 0.0) - (p["between"] or 0.0)) / max(1, n - (p["k"] or 0)))
-
-    def strength(between: float, groups: int) -> float:
-        """Within-site variance over the variance between sites: how many documents outweigh the parent."""
-        spread = (between - (groups - 1) * within) / max(1, n) if groups > 1 else 0.0
-        return within / max(spread, within / 1e4)
-
-    of_host = strength((r["between"] or 0.0) - n * mean * mean, r["k"] or 0)
-    of_path = strength((p["between"] or 0.0) - (r["between"] or 0.0), max(1, (p["k"] or 0) - (r["k"] or 0) + 1))
-    host = hosts.select("host", ((F.col("hs") + of_host * mean) / (F.col("hn") + of_host)).alias("host_mean"))
-    path = sums.join(host, "host").select("host", "path", "host_mean", ((F.col("s") + of_path * F.col("host_mean")) / (F.col("n") + of_path)).alias("path_mean"))
-    out = rows.join(path, ["host", "path"])
-    z = F.col("x") + F.col("path_mean") - mean
+    rows = sites(docs, path)
+    found = evidence(rows, model)
+    if labels is None:
+        return found.select("doc_id", (1 / (1 + F.exp(-F.col("x")))).alias("score"), F.lit(model.prior).alias("host_mean"), F.lit(model.prior).alias("path_mean"))
+    marks = scratch.write(marks_of(labels))
+    counts, rate, of_host, of_path = counts_of(rows, marks, scratch)
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    out = scratch.write(found).join(counts, ["host", "path"], "left").join(marks, "doc_id", "left").fillna(0, ["n", "g", "hn", "hg"])
+    one, good = F.col("quality").isNotNull().cast("int"), F.coalesce("quality", F.lit(0))
+    out = out.withColumn("host_mean", (F.col("hg") - good + of_host * rate) / (F.col("hn") - one + of_host))
+    out = out.withColumn("path_mean", (F.col("g") - good + of_path * F.col("host_mean")) / (F.col("n") - one + of_path))
+    odds = lambda p: F.log(p / (1 - p))
+    z = F.col("x") + odds(F.least(F.greatest("path_mean", F.lit(1e-6)), F.lit(1 - 1e-6))) - odds(F.lit(rate))
     return out.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), "host_mean", "path_mean")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = learn(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))))
-    out = classify(docs, model)
+    known = labels.filter(~held_out(F.col("doc_id")))
+    out = classify(docs, learn(docs.filter(~held_out(F.col("doc_id"))), known), known)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
