@@ -43,6 +43,8 @@ LEAST_TIER = 128
 #: Bytes that a worker's remembered chunks take at most; those beyond, and chunks over LONG characters, are encoded each time.
 REMEMBERED = 48 << 20
 LONG = 48
+#: The bytes for a worker that does nothing but packing, as in op8.
+ALONE = 144 << 20
 #: Characters that go to the tokenizer at once.
 SLICE = 1 << 18
 #: Places where the tokenizer cuts, whatever stands around them.
@@ -73,7 +75,7 @@ class Encoder:
     cut before each run of white space instead, which the tokenizer does too.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -81,7 +83,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, remembered
 
     def encode(self, strings: list[str]) -> list[bytes]:
         out = []
@@ -114,7 +116,7 @@ class Encoder:
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
         new = list(new - odd)
         now = dict(zip(new, self.encode([f" {x}" for x in new]), strict=True))
-        if self.held < REMEMBERED:
+        if self.held < self.most:
             short = {k: v for k, v in now.items() if len(k) <= LONG}
             self.held += sum(4 * len(k) + len(v) + 180 for k, v in short.items())
             known.update(short)
@@ -128,9 +130,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str | None) -> Encoder:
+def encoder_of(path: str | None, remembered: int) -> Encoder:
     """The worker's own encoder: what one task has worked out, its next tasks need not."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def tier_of(n: int, window: int = WINDOW) -> int:
@@ -198,11 +200,14 @@ def steps_of(packed: list[tuple[int, list]], step_tokens: int = STEP_TOKENS) ->
     return groups
 
 
-def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents, with their ids (little-endian unsigned 32 bits)."""
+def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, window: int = WINDOW, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of all documents, with their ids (little-endian unsigned 32 bits).
+
+    remembered: bytes of chunks that each worker keeps; more spend memory to save time.
+    """
 
     def make():
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, remembered)
         base = TaskContext.get().partitionId() << 36
         made = {"sequence": 0, "group": 0}
 
@@ -241,7 +246,7 @@ def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, window
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return digest(pack_documents(table(spark, sf_dir, "documents")))
+    return digest(pack_documents(table(spark, sf_dir, "documents"), remembered=ALONE))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
