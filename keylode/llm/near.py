@@ -7,15 +7,20 @@ into bin b, so every coordinate is filled.  Work is proportional to the set and
 Bands of some coordinates each make buckets; ``banding`` chooses both for the least likeness of a link.
 
 Equal sets are one class; classes that share buckets (each with the bucket's first class, transitively)
-form a cluster.  Links within a cluster are then found exactly and without comparing all pairs:
+form a cluster.  What links within a cluster connect is then found exactly, by spanning links:
 
 1. Every member is compared with the cluster's pivot (the class with the fullest buckets) on full sets.
    Clusters are dealt out in parts of PART members, each with a copy of the pivot.
 2. Let D(x) be the difference of x's set and the pivot's.  Sets differ as their D's differ, and if x and
    y link while their D's share nothing, then both link to the pivot already.  So only pairs whose D's
    share an element matter, one of them not linked to the pivot.  A prefix filter over the elements,
-   rarest first, with bounds by sizes and by elements that no other member has, leaves few; these are
-   verified on their whole D's.
+   rarest first, with bounds by sizes and by elements that no other member has, leaves lists of members
+   that share an element of their prefixes.
+3. Members known to be connected are one group.  HUB_ROUNDS times, every member of a list that holds
+   several groups is compared with that list's hub alone, on whole D's, and groups that link are merged.
+   So near copies of one text, however many, are merged by about as many comparisons.
+4. In lists that still hold several groups, members outside the largest are compared with the members of
+   all other groups.  This is exact whatever the rounds have merged; one link of two groups is enough.
 
 Two classes at the least likeness of a link miss each other in all bands with a chance of about 1 in 100,000.
 
@@ -44,6 +49,8 @@ PERCENT = 85
 #: Chance that a pair at the least likeness of a link shares no bucket.
 MISS = 1.1e-5
 CHUNK = 1 << 18
+#: Rounds of comparisons with hubs before groups are compared with each other.
+HUB_ROUNDS = 2
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -242,33 +249,60 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
 
 
 def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(a, b): links that connect all linked classes of each cluster."""
+    """(a, b): links that connect all linked classes of each cluster, spanning ones rather than all."""
     # 100 * intersection >= percent * union says as much as plus * difference <= minus * (n + m).
     plus, minus = 100 + percent, 100 - percent
-    star = members.filter("linked AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+    found = members.filter("linked AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
     open_clusters = scratch.write(members.filter("NOT linked AND members > 2").select("cluster").distinct())
     rows = members.join(sent(open_clusters), "cluster", "left_semi")
-    rows = scratch.write(rows.select("class", "cluster", "linked", "n", "delta", F.size("delta").alias("d")))
-    elements = rows.select("class", "cluster", "linked", "n", "d", F.explode("delta").alias("e"))
-    counts = elements.groupBy("cluster", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = elements.join(counts, ["cluster", "e"])
+    group = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("class")).alias("group")
+    rows = scratch.write(rows.select("class", "cluster", "linked", group, "n", "delta", F.size("delta").alias("d")))
+    fields = ["class", "cluster", "linked", "group", "n", "d"]
+    elements = rows.select(*fields, F.explode("delta").alias("e"))
+    counts = scratch.write(elements.groupBy("cluster", "e").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = elements.join(sent(counts), ["cluster", "e"])
     # own: elements that no other member has.  A pair differs by those at least, and links only if
     # plus * difference <= minus * (n + m); a partner has at most n * 100 / percent shingles.
-    kept = shared.groupBy("class", "cluster", "linked", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    kept = shared.groupBy(*fields).agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
     kept = kept.withColumn("own", F.col("d") - F.size("s")).withColumn("most", F.floor(F.expr(f"{minus} * (n + n * 100 / {percent}D) / {plus} + 1e-6D")).cast("int"))
     kept = kept.filter("own <= most").withColumn("prefix", F.slice("s", 1, F.least(F.size("s"), F.col("most") + 1 - F.col("own"))))
-    kept = scratch.write(kept.select("class", "cluster", "linked", "n", "d", "own", F.col("prefix.e").alias("prefix")))
-    probe = kept.select("class", "cluster", "linked", "n", "d", "own", F.explode("prefix").alias("e"))
-    x = probe.filter("NOT linked").select(F.col("class").alias("a"), "cluster", "e", F.col("n").alias("an"), F.col("d").alias("ad"), F.col("own").alias("ao"))
-    y = probe.select(F.col("class").alias("b"), "cluster", "e", F.col("linked").alias("bl"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("own").alias("bo"))
-    able = f"a <> b AND (bl OR a < b) AND {plus} * (ad + bd - 2 * least(ad - ao, bd - bo)) <= {minus} * (an + bn) AND {plus} * abs(ad - bd) <= {minus} * (an + bn)"
-    pairs = x.join(y, [x["cluster"] == y["cluster"], x["e"] == y["e"], F.expr(able)]).select("a", "b").distinct()
-    full = rows.select(F.col("class").alias("a"), F.col("delta").alias("da"), F.col("n").alias("na"))
-    other = rows.select(F.col("class").alias("b"), F.col("delta").alias("db"), F.col("n").alias("nb"))
-    both = pairs.join(full, "a").join(other, "b")
-    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    more = both.filter(plus * differ <= minus * (F.col("na") + F.col("nb"))).select("a", "b")
-    return star.union(more)
+    kept = scratch.write(kept.select(*fields, "own", F.col("prefix.e").alias("prefix")), drop=[counts])
+    able = f"{plus} * (ad + bd - 2 * least(ad - ao, bd - bo)) <= {minus} * (an + bn) AND {plus} * abs(ad - bd) <= {minus} * (an + bn)"
+
+    def side(x: str, of: str = "") -> list:
+        return [F.col(f"{of}{name}").alias(x + short) for name, short in (("class", ""), ("group", "g"), ("n", "n"), ("d", "d"), ("own", "o"))]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b, ag, bg) that link, on whole D's."""
+        pairs = scratch.write(pairs)
+        full = rows.select(F.col("class").alias("a"), F.col("delta").alias("da"), F.col("n").alias("na"))
+        other = rows.select(F.col("class").alias("b"), F.col("delta").alias("db"), F.col("n").alias("nb"))
+        differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+        return scratch.write(pairs.join(full, "a").join(other, "b").filter(plus * differ <= minus * (F.col("na") + F.col("nb"))).select("a", "b", "ag", "bg"), drop=[pairs])
+
+    for k in range(HUB_ROUNDS):
+        probe = kept.select(*fields, "own", F.explode("prefix").alias("e"))
+        hub = F.min(F.struct("linked", F.xxhash64("class", F.lit(k)).alias("order"), "class", "group", "n", "d", "own")).alias("hub")
+        lists = probe.groupBy("cluster", "e").agg(hub, F.min("group").alias("least"), F.max("group").alias("greatest")).filter("least <> greatest")
+        lists = scratch.write(lists.select("cluster", "e", "hub"))
+        pairs = probe.join(sent(lists), ["cluster", "e"]).select(*side("a"), *side("b", "hub.")).filter("ag <> bg").filter(able)
+        more = verified(pairs.select("a", "b", "ag", "bg").distinct())
+        scratch.drop(lists)
+        found = found.union(more.select("a", "b"))
+        if not more.limit(1).count():
+            break
+        labels = components(more.select(F.col("ag").alias("a"), F.col("bg").alias("b")), scratch)
+        placed = kept.join(sent(labels), kept["group"] == labels["node"], "left").withColumn("group", F.coalesce("label", "group"))
+        kept = scratch.write(placed.select(*kept.columns), drop=[kept, labels])
+    probe = kept.select(*fields, "own", F.explode("prefix").alias("e"))
+    sizes = probe.groupBy("cluster", "e", "group").agg(F.count("*").alias("size")).groupBy("cluster", "e")
+    lists = scratch.write(sizes.agg(F.max_by("group", F.struct("size", "group")).alias("largest"), F.count("*").alias("groups")).filter("groups > 1").select("cluster", "e", "largest"))
+    listed = scratch.write(probe.join(sent(lists), ["cluster", "e"]).withColumn("outer", F.col("group") != F.col("largest")).select(*fields, "own", "e", "outer"), drop=[lists])
+    x = listed.filter("outer").select("cluster", "e", *side("a"))
+    y = listed.select("cluster", "e", F.col("outer").alias("b_outer"), *side("b"))
+    pairs = x.join(y, [x["cluster"] == y["cluster"], x["e"] == y["e"], F.expr(f"ag <> bg AND (NOT b_outer OR a < b) AND {able}")])
+    more = verified(pairs.select("a", "b", "ag", "bg").distinct())
+    return found.union(more.groupBy("ag", "bg").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, keyed: bool = False) -> DataFrame:

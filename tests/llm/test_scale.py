@@ -9,7 +9,8 @@ import time
 import corpus_pipeline
 import pytest
 
-from keylode.llm import decontaminate, packing, repeats
+from keylode.llm import decontaminate, near, packing, repeats
+from keylode.llm.common import Scratch
 from tests.llm.test_operators import brute_repeats, docs_of, words
 
 
@@ -126,3 +127,69 @@ def test_hit_words_take_linear_time(spark):
         assert [(r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, bench).collect()] == [(n, n)]
         took.append(time.perf_counter() - start)
     assert took[1] < 4 * took[0] + 10
+
+
+def cluster_of(spark, sets):
+    """near.links_of's input: all sets in one cluster, whose pivot is the first."""
+    one, pivot = 1, min(sets)
+    rows = []
+    for name, own in sets.items():
+        delta = [x & ~one for x in own - sets[pivot]] + [x | one for x in sets[pivot] - own]
+        rows.append((name, b"c", pivot, len(sets), len(own), near.links(len(own & sets[pivot]), len(own), len(sets[pivot])), sorted(delta)))
+    return spark.createDataFrame(rows, "class binary, cluster binary, pivot binary, members long, n long, linked boolean, delta array<long>")
+
+
+def near_copies(rng, base, n, changes):
+    """Copies in which so many runs of five elements are others."""
+    out, base = [], list(base)
+    for _ in range(n):
+        own = base.copy()
+        for at in rng.sample(range(0, len(base) - 5, 5), rng.randint(1, changes)):
+            own[at : at + 5] = [2 * rng.randrange(1 << 60) for _ in range(5)]
+        out.append(set(own))
+    return out
+
+
+def connected(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in root}
+
+
+def test_links_grow_with_members(spark):
+    rng = random.Random(8)
+    p, q = ([2 * rng.randrange(1 << 60) for _ in range(200)] for _ in range(2))
+    for n in (50, 200):
+        every = [set(p), *near_copies(rng, p, n, 3), *near_copies(rng, q, n, 3)]
+        sets = {bytes([0, k >> 8, k & 255]): x for k, x in enumerate(every)}
+        got = [(bytes(a), bytes(b)) for a, b in near.links_of(cluster_of(spark, sets), Scratch(spark), 85).collect()]
+        assert len(got) <= 12 * n
+        assert all(near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in got)
+        names = sorted(sets)
+        assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_links_of_chains_against_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near, "HUB_ROUNDS", rounds)
+    rng = random.Random(9)
+    own = [2 * rng.randrange(1 << 60) for _ in range(100)]
+    every = [set(own)]
+    for _ in range(60):  # each changes the one before it, so that links form chains
+        own = list(own)
+        for at in rng.sample(range(100), rng.choice([2, 5, 9, 14])):
+            own[at] = 2 * rng.randrange(1 << 60)
+        every += [set(own), *near_copies(rng, own, 2, 2)]
+    rng.shuffle(every)
+    sets = {bytes([0, 0, k]): x for k, x in enumerate(every)}
+    got = [(bytes(a), bytes(b)) for a, b in near.links_of(cluster_of(spark, sets), Scratch(spark), 85).collect()]
+    names = sorted(sets)
+    assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
