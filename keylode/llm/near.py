@@ -16,11 +16,13 @@ form a cluster.  What links within a cluster connect is then found exactly, by s
    share an element matter, one of them not linked to the pivot.  A prefix filter over the elements,
    rarest first, with bounds by sizes and by elements that no other member has, leaves lists of members
    that share an element of their prefixes.
-3. Members known to be connected are one group.  HUB_ROUNDS times, every member of a list that holds
-   several groups is compared with that list's hub alone, on whole D's, and groups that link are merged.
-   So near copies of one text, however many, are merged by about as many comparisons.
+3. Members known to be connected are one group.  Every member of a list that holds several groups is
+   compared with that list's hub (a member with few own elements) alone, on whole D's; groups that link
+   are merged.  Then the nearest hub takes the pivot's place, D's and lists are made anew, and members
+   are compared with the hubs of these.  Both take about as many comparisons as there are list entries.
 4. In lists that still hold several groups, members outside the largest are compared with the members of
-   all other groups.  This is exact whatever the rounds have merged; one link of two groups is enough.
+   all other groups.  This is exact whatever the hubs have merged; one link of two groups is enough.  Comparisons
+   here grow with the square only of members that share a prefix and are not connected by hubs.
 
 Two classes at the least likeness of a link miss each other in all bands with a chance of about 1 in 100,000.
 
@@ -49,8 +51,6 @@ PERCENT = 85
 #: Chance that a pair at the least likeness of a link shares no bucket.
 MISS = 1.1e-5
 CHUNK = 1 << 18
-#: Rounds of comparisons with hubs before groups are compared with each other.
-HUB_ROUNDS = 2
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -248,8 +248,11 @@ def compared(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch:
     return map_arrow(dealt, make, "class binary, cluster binary, pivot binary, members long, n long, linked boolean, delta array<long>")
 
 
-def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(a, b): links that connect all linked classes of each cluster, spanning ones rather than all."""
+def links_of(members: DataFrame, scratch: Scratch, percent: int, *, hubs: bool = True) -> DataFrame:
+    """(a, b): links that connect all linked classes of each cluster, spanning ones rather than all.
+
+    hubs: merge by hubs first; without it all is left to the comparison of groups, with the same components.
+    """
     # 100 * intersection >= percent * union says as much as plus * difference <= minus * (n + m).
     plus, minus = 100 + percent, 100 - percent
     found = members.filter("linked AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
@@ -272,28 +275,43 @@ def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     def side(x: str, of: str = "") -> list:
         return [F.col(f"{of}{name}").alias(x + short) for name, short in (("class", ""), ("group", "g"), ("n", "n"), ("d", "d"), ("own", "o"))]
 
+    full = rows.select(F.col("class").alias("a"), F.col("delta").alias("da"), F.col("n").alias("na"))
+    other = rows.select(F.col("class").alias("b"), F.col("delta").alias("db"), F.col("n").alias("nb"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b, ag, bg) that link, on whole D's."""
-        pairs = scratch.write(pairs)
-        full = rows.select(F.col("class").alias("a"), F.col("delta").alias("da"), F.col("n").alias("na"))
-        other = rows.select(F.col("class").alias("b"), F.col("delta").alias("db"), F.col("n").alias("nb"))
+        """Pairs (a, b, ag, bg) with the difference of their sets, on whole D's, and the most that links."""
+        pairs = scratch.write(pairs.select("a", "b", "ag", "bg").distinct())
         differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-        return scratch.write(pairs.join(full, "a").join(other, "b").filter(plus * differ <= minus * (F.col("na") + F.col("nb"))).select("a", "b", "ag", "bg"), drop=[pairs])
-
-    for k in range(HUB_ROUNDS):
-        probe = kept.select(*fields, "own", F.explode("prefix").alias("e"))
-        hub = F.min(F.struct("linked", F.xxhash64("class", F.lit(k)).alias("order"), "class", "group", "n", "d", "own")).alias("hub")
-        lists = probe.groupBy("cluster", "e").agg(hub, F.min("group").alias("least"), F.max("group").alias("greatest")).filter("least <> greatest")
-        lists = scratch.write(lists.select("cluster", "e", "hub"))
-        pairs = probe.join(sent(lists), ["cluster", "e"]).select(*side("a"), *side("b", "hub.")).filter("ag <> bg").filter(able)
-        more = verified(pairs.select("a", "b", "ag", "bg").distinct())
+        both = pairs.join(full, "a").join(other, "b")
+        return scratch.write(both.select("a", "b", "ag", "bg", (plus * differ).alias("differ"), (minus * (F.col("na") + F.col("nb"))).alias("most")), drop=[pairs])
+
+    def with_hubs(probe: DataFrame, key: str) -> DataFrame:
+        """Members of each list of probe (key, e) that holds several groups, compared with its hub."""
+        hub = F.min(F.struct("linked", "own", "d", "class", "group", "n")).alias("hub")
+        lists = probe.groupBy(key, "e").agg(hub, F.min("group").alias("least"), F.max("group").alias("greatest")).filter("least <> greatest")
+        lists = scratch.write(lists.select(key, "e", "hub"))
+        out = verified(probe.join(sent(lists), [key, "e"]).select(*side("a"), *side("b", "hub.")).filter("ag <> bg").filter(able))
         scratch.drop(lists)
-        found = found.union(more.select("a", "b"))
-        if not more.limit(1).count():
-            break
+        return out
+
+    def merged(kept: DataFrame, more: DataFrame) -> DataFrame:
         labels = components(more.select(F.col("ag").alias("a"), F.col("bg").alias("b")), scratch)
         placed = kept.join(sent(labels), kept["group"] == labels["node"], "left").withColumn("group", F.coalesce("label", "group"))
-        kept = scratch.write(placed.select(*kept.columns), drop=[kept, labels])
+        return scratch.write(placed.select(*kept.columns), drop=[kept, labels])
+
+    if hubs:
+        near = with_hubs(kept.select(*fields, "own", F.explode("prefix").alias("e")), "cluster")
+        more = near.filter("differ <= most").select("a", "b", "ag", "bg")
+        found, kept = found.union(more.select("a", "b")), merged(kept, more)
+        # The nearest hub takes the pivot's place: what is common to its copies leaves their D's.
+        bases = scratch.write(near.filter("differ <= 2 * most").groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")))
+        moved = kept.join(bases, kept["class"] == bases["a"]).join(full.select("a", "da"), "a").join(other.select("b", "db"), "b")
+        moved = moved.withColumn("delta", F.concat(F.array_except("da", "db"), F.array_except("db", "da")))
+        moved = scratch.write(moved.select("class", F.col("b").alias("base"), "linked", "group", "n", F.size("delta").alias("d"), F.lit(0).alias("own"), "delta"))
+        more = with_hubs(moved.select("class", "base", "linked", "group", "n", "d", "own", F.explode("delta").alias("e")), "base").filter("differ <= most").select("a", "b", "ag", "bg")
+        found, kept = found.union(more.select("a", "b")), merged(kept, more)
+        scratch.drop(moved)
+        scratch.drop(bases)
     probe = kept.select(*fields, "own", F.explode("prefix").alias("e"))
     sizes = probe.groupBy("cluster", "e", "group").agg(F.count("*").alias("size")).groupBy("cluster", "e")
     lists = scratch.write(sizes.agg(F.max_by("group", F.struct("size", "group")).alias("largest"), F.count("*").alias("groups")).filter("groups > 1").select("cluster", "e", "largest"))
@@ -301,7 +319,7 @@ def links_of(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     x = listed.filter("outer").select("cluster", "e", *side("a"))
     y = listed.select("cluster", "e", F.col("outer").alias("b_outer"), *side("b"))
     pairs = x.join(y, [x["cluster"] == y["cluster"], x["e"] == y["e"], F.expr(f"ag <> bg AND (NOT b_outer OR a < b) AND {able}")])
-    more = verified(pairs.select("a", "b", "ag", "bg").distinct())
+    more = verified(pairs).filter("differ <= most")
     return found.union(more.groupBy("ag", "bg").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"))
 
 

@@ -177,9 +177,8 @@ def test_links_grow_with_members(spark):
         assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_links_of_chains_against_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize("hubs", [False, True])
+def test_links_of_chains_against_brute_force(spark, hubs):
     rng = random.Random(9)
     own = [2 * rng.randrange(1 << 60) for _ in range(100)]
     every = [set(own)]
@@ -190,6 +189,6 @@ def test_links_of_chains_against_brute_force(spark, monkeypatch, rounds):
         every += [set(own), *near_copies(rng, own, 2, 2)]
     rng.shuffle(every)
     sets = {bytes([0, 0, k]): x for k, x in enumerate(every)}
-    got = [(bytes(a), bytes(b)) for a, b in near.links_of(cluster_of(spark, sets), Scratch(spark), 85).collect()]
+    got = [(bytes(a), bytes(b)) for a, b in near.links_of(cluster_of(spark, sets), Scratch(spark), 85, hubs=hubs).collect()]
     names = sorted(sets)
     assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
