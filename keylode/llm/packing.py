@@ -26,7 +26,9 @@ import re
 from array import array
 from bisect import bisect_right, insort
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,9 +49,13 @@ LONG = 48
 ALONE = 144 << 20
 #: Characters that go to the tokenizer at once.
 SLICE = 1 << 18
+#: How the vocabulary writes a space.
+SPACE = "\u0120"
 #: Places where the tokenizer cuts, whatever stands around them.
 CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 FINE = re.compile(r"(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
+#: A mark at a chunk's end, after a letter, is a pre-token of its own: the chunk's ids are its stem's and the mark's.
+MARKED = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]$(?!\n)")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SQL_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -82,8 +88,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.known: dict[str, bytes] = {}
         self.held, self.most = 0, remembered
+        self.marks = {x: array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
 
     def encode(self, strings: list[str]) -> list[bytes]:
         out = []
@@ -109,23 +119,46 @@ class Encoder:
             out += self._ids(part)
         return out
 
+    def chunks(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks, each with a space before it; none of them odd.  Many are encoded as one text."""
+        out = []
+        for part in slices(new, SLICE):
+            if len(part[0]) > SLICE:
+                out.append(self.long(f" {part[0]}"))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.spaced[ids]) * 4  # a chunk has its only space in front
+            if len(starts) != len(part):
+                raise ValueError("the tokenizer joins spaces to what stands before them")
+            data = ids.tobytes()
+            out += [data[i:k] for i, k in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
+        return out
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         split = [x.split(" ") if len(x) <= 16 * SLICE else [x] for x in texts]
-        new = {x for parts in split for x in parts[1:] if x not in known}
+        first = [parts.pop(0) for parts in split]
+        new = set().union(*split).difference(known)
         odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        new = list(new - odd)
-        now = dict(zip(new, self.encode([f" {x}" for x in new]), strict=True))
-        if self.held < self.most:
-            short = {k: v for k, v in now.items() if len(k) <= LONG}
-            self.held += sum(4 * len(k) + len(v) + 180 for k, v in short.items())
-            known.update(short)
-        heads = self.encode([parts[0] for parts in split])
-        for text, parts, head in zip(texts, split, heads, strict=True):
-            if len(parts) > 1 and (parts[0][-1:].isspace() or not parts[0] or odd and not odd.isdisjoint(parts[1:])):
+        new -= odd
+        marked = [x for x in new if MARKED.search(x)]
+        new.difference_update(marked)
+        new.update({x[:-1] for x in marked}.difference(known))
+        new = list(new)
+        known.update(zip(new, self.chunks(new), strict=True))
+        for x in marked:
+            known[x] = known[x[:-1]] + self.marks[x[-1]]
+        heads = self.encode(first)
+        for text, start, parts, head in zip(texts, first, split, heads, strict=True):
+            if parts and (start[-1:].isspace() or not start or odd and not odd.isdisjoint(parts)):
                 out.append(self.encode([text])[0])
             else:
-                out.append(b"".join([head, *[known.get(x) or now[x] for x in parts[1:]]]))
+                out.append(b"".join([head, *map(known.__getitem__, parts)]))
+        for x in chain(new, marked):  # those beyond the bound are forgotten
+            if len(x) <= LONG and self.held < self.most:
+                self.held += 4 * len(x) + len(known[x]) + 180
+            else:
+                del known[x]
         return out
 
 
