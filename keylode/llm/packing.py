@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 FINE = re.compile(r"(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
 #: A mark at a chunk's end, after a letter, is a pre-token of its own: the chunk's ids are its stem's and the mark's.
 MARKED = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]$(?!\n)")
+#: Chunks that are one pre-token with the space before them.
+WORD = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,%d}" % LONG)
+#: Byte-level vocabularies write a byte that prints as itself, and the others as characters from 256 on; the line end is not needed here.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+WRITTEN = np.arange(256, dtype=np.uint32)
+for _k, _b in enumerate(b for b in range(256) if b not in PRINTED):
+    WRITTEN[_b] = 256 + _k if _b != 10 else 10
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SQL_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -84,13 +92,17 @@ class Encoder:
     def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        split = self.tokenizer.pre_tokenizer
+        bytewise = isinstance(self.tokenizer.model, models.BPE) and isinstance(split, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        #: The model alone, for words that need no splitting.
+        self.model = self.tokenizer.model if bytewise and [x for x, _ in split.pre_tokenize_str(" ab cd")] == [f"{SPACE}ab", f"{SPACE}cd"] else None
         self.known: dict[str, bytes] = {}
         self.held, self.most = 0, remembered
         self.marks = {x: array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
@@ -134,31 +146,63 @@ class Encoder:
             out += [data[i:k] for i, k in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        split = [x.split(" ") if len(x) <= 16 * SLICE else [x] for x in texts]
-        first = [parts.pop(0) for parts in split]
-        new = set().union(*split).difference(known)
-        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
-        new -= odd
-        marked = [x for x in new if MARKED.search(x)]
-        new.difference_update(marked)
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks that WORD matches, each with a space before it: their bytes go straight to the model."""
+        tokenize = self.model.tokenize
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        written = WRITTEN[data].tobytes().decode("utf-32-le").split("\n")
+        return [array("I", [t.id for t in tokenize(SPACE + x)]).tobytes() for x in written[: len(words)]]
+
+    def learn(self, distinct: list[str]) -> tuple[list[bytes], set[str]]:
+        """Ids of these chunks, and the odd ones among them, which have none."""
+        known = self.known
+        got = list(map(known.get, distinct))
+        unknown = [x for x, ids in zip(distinct, got, strict=True) if ids is None]
+        odd = {x for x in unknown if not x or x[0].isspace() or x[-1].isspace()}
+        marked = [x for x in unknown if MARKED.search(x)]
+        new = set(unknown).difference(odd, marked)
         new.update({x[:-1] for x in marked}.difference(known))
         new = list(new)
-        known.update(zip(new, self.chunks(new), strict=True))
+        words = [x for x in new if WORD.fullmatch(x)] if self.model else []
+        known.update(zip(words, self.words(words), strict=True))
+        rest = list(set(new).difference(words))
+        known.update(zip(rest, self.chunks(rest), strict=True))
         for x in marked:
             known[x] = known[x[:-1]] + self.marks[x[-1]]
-        heads = self.encode(first)
-        for text, start, parts, head in zip(texts, first, split, heads, strict=True):
-            if parts and (start[-1:].isspace() or not start or odd and not odd.isdisjoint(parts)):
-                out.append(self.encode([text])[0])
-            else:
-                out.append(b"".join([head, *map(known.__getitem__, parts)]))
+        got = [known.get(x, b"") if ids is None else ids for x, ids in zip(distinct, got, strict=True)]
         for x in chain(new, marked):  # those beyond the bound are forgotten
             if len(x) <= LONG and self.held < self.most:
                 self.held += 4 * len(x) + len(known[x]) + 180
             else:
                 del known[x]
+        return got, odd
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Chunks are told apart by Arrow; Python looks up each distinct one of these texts once."""
+        lists = pc.split_pattern(pa.array([x if len(x) <= 16 * SLICE else "" for x in texts], pa.string()), " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        first = [x if len(x) > 16 * SLICE else head for x, head in zip(texts, lists.values.take(lists.offsets[:-1]).to_pylist(), strict=True)]
+        is_part = np.ones(len(lists.values), bool)
+        is_part[at[:-1]] = False
+        parts = lists.values.filter(pa.array(is_part)).dictionary_encode()
+        at -= np.arange(len(at))  # where each text's chunks begin, without its first
+        distinct, chunk = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        known, odd = self.learn(distinct)
+        strange = np.zeros(len(texts), bool)
+        if odd:
+            strange = np.diff(np.concatenate([[0], np.cumsum(np.array([x in odd for x in distinct])[chunk])])[at]) > 0
+        pool = np.frombuffer(b"".join(known), np.uint32)
+        sizes = np.array([len(x) for x in known], np.int64) // 4
+        size = sizes[chunk]
+        end = np.cumsum(size)
+        all_ids = pool[np.repeat((np.cumsum(sizes) - sizes)[chunk] - end + size, size) + np.arange(len(size) and end[-1])]
+        border = np.concatenate([[0], end])[at].tolist()
+        out = []
+        for k, (text, start, head) in enumerate(zip(texts, first, self.encode(first), strict=True)):
+            if at[k] < at[k + 1] and (start[-1:].isspace() or not start or strange[k]):
+                out.append(self.encode([text])[0])
+            else:
+                out.append(head + all_ids[border[k] : border[k + 1]].tobytes())
         return out
 
 
