@@ -159,12 +159,6 @@ def write_counts(spark, d):
     return state.write_counts(events_log(spark, d))
 
 
-@query(f"WITH {LOG} SELECT key, value, tombstone, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 500) WHERE rn = 1")
-def as_of_500(spark, d):
-    """A fixed early position; as_of_middle takes one from the log."""
-    return state.as_of(events_log(spark, d), 500)
-
-
 @query(f"WITH {LOG} SELECT key, value, tombstone, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)) WHERE rn = 1")
 def as_of_middle(spark, d):
     log = events_log(spark, d)
@@ -340,14 +334,6 @@ def append_entries(spark, d):
     return consensus.appended(*replica_logs(spark, d))
 
 
-@query("SELECT user_id % 5 AS node, event_id AS log_index, props AS value FROM events WHERE event_id > 100 AND event_id <= 100 + 50 * (user_id % 5 + 1)")
-def apply_committed(spark, d):
-    """Fixed early positions; apply_majority takes them from the log."""
-    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("log_index"), F.col("props").alias("value"))
-    commits = e.select("node").distinct().select("node", F.lit(100).alias("last_applied"), (F.lit(100) + 50 * (F.col("node") + 1)).alias("commit_index"))
-    return consensus.applied(e, commits)
-
-
 @query("WITH e AS (SELECT user_id % 5 AS node, user_id AS peer, event_id AS log_index, props AS value FROM events), m AS (SELECT node, peer, max(log_index) AS match FROM e GROUP BY ALL), r AS (SELECT node, match, row_number() OVER (PARTITION BY node ORDER BY match DESC) AS rn, count(*) OVER (PARTITION BY node) AS n FROM m), f AS (SELECT node, min(log_index) AS first_index FROM e GROUP BY 1) SELECT e.node, e.log_index, e.value FROM e JOIN r ON r.node = e.node AND r.rn = n // 2 + 1 JOIN f ON f.node = e.node WHERE e.log_index > f.first_index AND e.log_index <= r.match")
 def apply_majority(spark, d):
     """All after each node's first entry up to what a majority of its users have reached."""
