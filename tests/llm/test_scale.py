@@ -5,6 +5,7 @@ import random
 import subprocess
 import sys
 import time
+from array import array
 
 import corpus_pipeline
 import pytest
@@ -192,3 +193,15 @@ def test_links_of_chains_against_brute_force(spark, hubs):
     got = [(bytes(a), bytes(b)) for a, b in near.links_of(cluster_of(spark, sets), Scratch(spark), 85, hubs=hubs).collect()]
     names = sorted(sets)
     assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
+
+
+def test_encoder_gives_the_tokenizers_own_ids():
+    rng = random.Random(21)
+    parts = [" ", " ", " ", "  ", "\n", "\t", " ", "word", "Straße", "élan", "Ÿž", "中文", "ы", "😀", "'s", "12", "a1", ".", ",", ".\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["", " ", "a ", " a", "a  b", "é" * 500, f"x {'y' * 5000} z"]
+    for bound in (0, 1 << 20):  # nothing remembered, and something
+        encoder = packing.Encoder(None, bound)
+        assert encoder.model
+        direct = [array("I", x.ids).tobytes() for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert encoder.ids(texts) == direct
+        assert encoder.ids(texts) == direct
