@@ -191,15 +191,23 @@ def sent(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+def edges_of(members: DataFrame) -> DataFrame:
+    """(a, b): edges that connect each class with all first classes of its buckets, all through the least of them.
+
+    Classes with the same firsts share the edges between these, so that a class of a large cluster adds
+    about one edge, however many of its buckets are full.
+    """
+    return members.select(F.explode(F.array_union(F.array("class"), "firsts")).alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+
+
 def clusters_of(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """class, cluster, pivot (of the cluster) for classes that share a bucket with another."""
     rows = classes.select("class", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("class").alias("first")).filter("size > 1")
-    members = scratch.write(rows.join(buckets, ["band", "key"]).groupBy("class", "first").agg(F.sum("size").alias("weight")))
-    edges = members.filter(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b"))
-    labels = components(edges, scratch)
-    weights = members.groupBy("class").agg(F.sum("weight").alias("weight"))
-    placed = scratch.write(labels.join(weights, labels["node"] == weights["class"]).select("class", F.col("label").alias("cluster"), "weight"), drop=[members])
+    joined = rows.join(buckets, ["band", "key"]).groupBy("class").agg(F.sum("size").alias("weight"), F.collect_set("first").alias("firsts"))
+    members = scratch.write(joined.withColumn("least", F.array_min("firsts")))
+    labels = components(edges_of(members), scratch)
+    placed = scratch.write(labels.join(members, labels["node"] == members["class"]).select("class", F.col("label").alias("cluster"), "weight"), drop=[members])
     pivots = scratch.write(placed.groupBy("cluster").agg(F.max_by("class", F.struct("weight", "class")).alias("pivot"), F.count("*").alias("members")))
     return placed.join(sent(pivots), "cluster").select("class", "cluster", "pivot", "members")
 

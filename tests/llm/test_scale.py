@@ -178,6 +178,33 @@ def test_links_grow_with_members(spark):
         assert connected(got) == connected((a, b) for i, a in enumerate(names) for b in names[:i] if near.links(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_edges_of_a_cluster_grow_with_members(spark, monkeypatch, percent):
+    rng = random.Random(10)
+    base = words(rng, 100).split()
+    texts = []
+    for i in range(300):
+        own = base.copy()
+        for at in rng.sample(range(100), rng.randint(1, 2)):
+            own[at] = f"x{i}-{at}"
+        texts.append(" ".join(own))
+    scratch, seen, inner = Scratch(spark), [], near.components
+
+    def components(edges, scratch):
+        seen.extend((bytes(a), bytes(b)) for a, b in edges.collect())
+        return inner(edges, scratch)
+
+    monkeypatch.setattr(near, "components", components)
+    classes = near.described(docs_of(spark, list(enumerate(texts))), percent).select("class", "doc_id", "bands")
+    clusters = {bytes(r["class"]): bytes(r["cluster"]) for r in near.clusters_of(scratch.write(classes), scratch).collect()}
+    assert len({frozenset(x) for x in seen if x[0] != x[1]}) <= 2 * len(clusters)
+    by_key = collections.defaultdict(list)
+    for r in classes.collect():
+        for place in enumerate(r["bands"]):
+            by_key[place].append(bytes(r["class"]))
+    assert clusters == connected((x[0], y) for x in by_key.values() if len(x) > 1 for y in x)
+
+
 @pytest.mark.parametrize("hubs", [False, True])
 def test_links_of_chains_against_brute_force(spark, hubs):
     rng = random.Random(9)
