@@ -38,8 +38,9 @@ from keylode.llm.suffix import suffix_array
 LENGTH = 400
 #: Passages of over so many words are told of too.
 PASSAGE_WORDS = 50
-K = 16
-WORD_K = 4
+#: Units of an anchor, or fewer for short strings: longer ones are seldom shared by strings that differ.
+K = 64
+WORD_K = 8
 PIECE = 16
 #: Differing runs, or pieces, that one suffix array takes of a group.
 GROUP = 512
@@ -70,7 +71,11 @@ class Strings:
 
     @property
     def gram(self) -> int:
-        return WORD_K if self.words else K
+        """Units of an anchor: a power of two, at most a third of a string."""
+        k = WORD_K if self.words else K
+        while k > 4 and 3 * k > self.length:
+            k //= 2
+        return k
 
     @property
     def size(self) -> int:
@@ -114,7 +119,7 @@ def units_of(texts: list[str | None], strings: Strings) -> list:
     return out
 
 
-def grams(data: np.ndarray, k: int = K) -> np.ndarray:
+def grams(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-grams (k: a power of two), each of two halves."""
     g, s = _BYTE[data] if data.dtype == np.uint8 else data, 1
     while s < k:
@@ -129,7 +134,7 @@ def grams(data: np.ndarray, k: int = K) -> np.ndarray:
 
 def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last start of each run of strings, its anchor's place and hash."""
-    k = K if data.dtype == np.uint8 else WORD_K
+    k = Strings(length, words=data.dtype != np.uint8).gram
     n, width = len(data) - length + 1, length - k + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
@@ -386,12 +391,13 @@ def repeated_spans(docs: DataFrame, strings: Strings | int = LENGTH) -> DataFram
     length = strings.length
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(anchored(docs, strings))
-    by_run = scratch.write(found.groupBy("h", "p").agg(F.sum(F.size("at")).alias("c"), F.min(F.struct("id", "th", F.get("at", F.lit(0)).alias("s"))).alias("ref"), F.first("m").alias("m"), F.first("o").alias("o")))
+    # All firsts are of one row.  Numbers alone, and no struct, are summed in a hash table without a sort.
+    by_run = scratch.write(found.withColumn("s", F.get("at", F.lit(0))).groupBy("h", "p").agg(F.sum(F.size("at")).alias("c"), *[F.first(x).alias(x) for x in ("id", "th", "s", "m", "o")]))
     again = by_run.filter("c > 1").select("h", "p")
     whole = found.join(again, ["h", "p"], "left_semi").select("id", "th", "m", F.explode("at").alias("first")).select("id", "th", "first", (F.col("first") + F.col("m") - 1).alias("last"))
     whole = scratch.write(whole, drop=[found])
     differing = scratch.write(by_run.groupBy("h").agg(F.count("*").alias("k"), F.count_if(F.col("c") == 1).alias("single")).filter("k > 1 AND single > 0").select("h", "k"))
-    wanted = by_run.join(sent(differing), "h").select(F.col("ref.id").alias("id"), F.col("ref.th").alias("th"), F.struct("h", F.col("ref.s").alias("s"), "m", "o", F.least("c", F.lit(2)).cast("int").alias("c"), (F.col("k") > GROUP).alias("hot")).alias("run"))
+    wanted = by_run.join(sent(differing), "h").select("id", "th", F.struct("h", "s", "m", "o", F.least("c", F.lit(2)).cast("int").alias("c"), (F.col("k") > GROUP).alias("hot")).alias("run"))
     per_doc = scratch.write(wanted.groupBy("id", "th").agg(F.collect_list("run").alias("runs")), drop=[by_run, differing])
 
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("m", pa.int32()), ("o", pa.int32()), ("c", pa.int32()), ("units", pa.binary()), ("hot", pa.bool_()), ("g1", pa.int64()), ("g2", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])

@@ -42,6 +42,31 @@ def test_repeated_words_against_brute_force(spark, monkeypatch, group):
     assert got == expected
 
 
+def test_short_common_phrases_gather_few_strings():
+    rng = random.Random(14)
+    phrases = [words(rng, 6) for _ in range(400)]
+    for strings in (repeats.Strings(400), repeats.Strings(51, words=True)):
+        held = []
+        for _ in range(2):
+            text = " ".join(rng.choice(phrases) for _ in range(3000))
+            held.append({h for *_, h in repeats.runs_of(repeats.units_of([text], strings), strings.length)[0]})
+        assert len(held[0] & held[1]) < 0.05 * len(held[0])
+
+
+@pytest.mark.parametrize("length", [20, 32, 64, 400])
+def test_anchors_of_strings_of_any_length(length):
+    rng = random.Random(length)
+    data = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 3 * length))) for _ in range(6)]
+    data += [data[0][3:] + data[1], b"c" + data[2]]
+    anchors = collections.defaultdict(set)
+    for own, found in zip(data, repeats.runs_of(data, length), strict=True):
+        assert [k for a, m, _, _ in found for k in range(a, a + m)] == list(range(len(own) - length + 1))
+        for a, m, o, h in found:
+            for k in range(a, a + m):
+                anchors[own[k : k + length]].add((o - (k - a), h))
+    assert anchors and all(len(x) == 1 for x in anchors.values())
+
+
 def test_op2_tells_of_passages_that_bytes_leave(spark, tmp_path):
     rng = random.Random(3)
     passage = words(rng, 60)
