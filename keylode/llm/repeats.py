@@ -44,8 +44,9 @@ WORD_K = 8
 PIECE = 16
 #: Differing runs, or pieces, that one suffix array takes of a group.
 GROUP = 512
-#: Bytes of units that are worked on at once; longer texts are taken in parts that overlap.
-CHUNK = 1 << 18
+#: Bytes of units that are worked on at once, so that their hashes stay in a core's cache; longer texts
+#: are taken in parts that overlap.
+CHUNK = 1 << 16
 #: Symbols of a suffix array.
 SYMBOLS = 80_000
 BROADCAST_ROWS = 100_000
@@ -425,7 +426,7 @@ def repeated_spans(docs: DataFrame, strings: Strings | int = LENGTH) -> DataFram
                             held += len(row[7]) + 100
                             for column, v in zip(columns, row, strict=True):
                                 column.append(v)
-                    if held > CHUNK:
+                    if held > 4 * CHUNK:
                         yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, columns, strict=True)], schema=schema)
                         columns, held = tuple([] for _ in schema), 0
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for f, v in zip(schema, columns, strict=True)], schema=schema)
